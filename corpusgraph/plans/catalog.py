@@ -518,7 +518,7 @@ def build_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def stored_graph(spark: SparkSession, sf: str) -> DataFrame:
-    """Tables after writing all documents, writing half of them again, and deleting one."""
+    """Tables after writing all documents, writing the chunks again, and deleting one document."""
     folder = run_folder(spark)
     database = "corpusgraph_" + folder.rsplit("-", 1)[1]
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{folder}'")
@@ -527,7 +527,7 @@ def stored_graph(spark: SparkSession, sf: str) -> DataFrame:
     stored = g.chunks.withColumn("type", F.lit("text")).withColumn("coherence_score", F.lit(1.0))
     for name, rows in (("chunks", stored), ("entities", g.entities), ("mentions", g.mentions), ("relationships", g.relationships)):
         store.upsert(name, rows)
-        store.upsert(name, rows)
+    store.upsert("chunks", stored)
     last = g.chunks.agg(F.max("document_id")).first()[0]
     store.delete_document(last)
     tables = graph.GraphTables(*[store.load(t) for t in ("chunks", "entities", "mentions", "relationships")])

@@ -323,7 +323,7 @@ WHERE rank <= {k}"""
 def _merged(preferred: str, other: str) -> str:
     numbers = lambda e: rf"regexp_extract_all({e}, '\b\d+(?:\.\d+)?\b')"
     extra = (f"array_to_string(list_sort(list_distinct(list_filter({numbers(other)}, "
-             f"n -> NOT list_contains({numbers(preferred)}, n))))[1:5], ' ')")
+             f"lambda n: NOT list_contains({numbers(preferred)}, n))))[1:5], ' ')")
     return (f"CASE WHEN {extra} <> '' AND length({preferred}) < length({other}) * 1.2 AND NOT contains({preferred}, {extra}) "
             f"THEN {preferred} || ' ' || {extra} ELSE {preferred} END")
 
@@ -379,7 +379,7 @@ SELECT document_id, unit_seq, NOT ok AS needs_translation, CAST(CASE WHEN ok THE
     sql["section_headers"] = f"""WITH {LINES}, h AS (SELECT document_id, unit_seq, page || ' ' || text AS text FROM lines)
 SELECT document_id, unit_seq, text FROM h WHERE {HEADER}"""
     from ..functions.text import SALIENT_TERMS
-    sql["salient_terms"] = f"""WITH {FACTS} SELECT chunk_id, len(list_distinct(list_transform(regexp_extract_all(text, '{SALIENT_TERMS}', 1, 'i'), lambda w: lower(w)))) AS terms FROM facts"""
+    sql["salient_terms"] = f"""WITH {FACTS} SELECT chunk_id, CAST(len(list_distinct(list_transform(regexp_extract_all(text, '{SALIENT_TERMS}', 1, 'i'), lambda w: lower(w)))) AS INTEGER) AS terms FROM facts"""
     sql["structural_blocks"] = f"""WITH RECURSIVE {LINES},
 u AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY unit_seq) AS n, {HEADER} AS header, {estimate('text')} AS tokens FROM lines),
 {_packing('u', 400)}
@@ -459,9 +459,9 @@ el AS (SELECT cid, string_agg(label || ':' || type, ';' ORDER BY position) AS l
 rl AS (SELECT cid, string_agg(source || ':' || target || ':' || type, ';' ORDER BY position) AS l FROM rels GROUP BY cid),
 m AS (SELECT c.*, (confidence < 0.38 OR (n_e >= 3 AND n_r = 0)) AS used, el.l AS e, coalesce(rl.l, '') AS r FROM conf c LEFT JOIN el ON el.cid = c.chunk_id LEFT JOIN rl ON rl.cid = c.chunk_id)
 SELECT chunk_id, used AS used_response,
-  CASE WHEN used THEN greatest(round(confidence, 6), {conf.format(e='(n_e + 2)', r='(n_r + 2)')}) ELSE round(confidence, 6) END AS confidence,
+  CASE WHEN used THEN greatest(round(confidence, 6), {conf.format(e='(n_e + 2)', r='(n_r + 3)')}) ELSE round(confidence, 6) END AS confidence,
   CASE WHEN used THEN e || ';earnings:metric;outlook:concept' ELSE e END AS entities,
-  CASE WHEN used THEN ltrim(r || ';nothing:outlook:USED_FOR;outlook:revenue:RELATED_TO', ';') ELSE r END AS relationships FROM m"""
+  CASE WHEN used THEN ltrim(r || ';nothing:outlook:USED_FOR;outlook:revenue:RELATED_TO;outlook:revenue:HAS_VALUE', ';') ELSE r END AS relationships FROM m"""
     sql["reuse_by_hash"] = f"""WITH {FACT_GRAPH} SELECT chunk_id, row_number() OVER (PARTITION BY text ORDER BY document_id, chunk_seq) > 1 AS reused,
   CAST(n_e AS INTEGER) AS n_entities, CAST(n_r AS INTEGER) AS n_relations FROM sizes"""
 
