@@ -33,8 +33,17 @@ SHORT_SENTENCE = 160
 PHRASE_CHARS = 28
 
 
-def find_all(c: Column, pattern: str, group: int, flags: str = "iU") -> Column:
-    return F.regexp_extract_all(c, F.lit(f"(?{flags}){pattern}"), F.lit(group))
+def find_all(c: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract_all(c, F.lit(f"(?U){pattern}"), F.lit(group))
+
+
+def find_words(low: Column, pattern: str, group: int) -> Column:
+    """Matches of a pattern in any case, given lower-case text: cheaper than matching without case."""
+    return find_all(low, pattern.lower(), group)
+
+
+def has_words(low: Column, pattern: str) -> Column:
+    return low.rlike(f"(?U){pattern.lower()}")
 
 
 def _entity(label: Column, kind: str) -> Column:
@@ -46,23 +55,23 @@ def _labelled(found: Column, kind: str) -> Column:
 
 
 def year_entities(c: ColumnOrName) -> Column:
-    return _labelled(find_all(as_col(c), YEAR, 1, "U"), "date")
+    return _labelled(find_all(as_col(c), YEAR, 1), "date")
 
 
 def amount_entities(c: ColumnOrName) -> Column:
-    return _labelled(find_all(as_col(c), AMOUNT, 0), "number")
+    return _labelled(find_words(F.lower(as_col(c)), AMOUNT, 0), "number")
 
 
 def ml_entities(c: ColumnOrName) -> Column:
-    return _labelled(find_all(as_col(c), ML_TERM, 1), "concept")
+    return _labelled(find_words(F.lower(as_col(c)), ML_TERM, 1), "concept")
 
 
 def finance_entities(c: ColumnOrName) -> Column:
-    return _labelled(find_all(as_col(c), FINANCE_TERM, 1), "metric")
+    return _labelled(find_words(F.lower(as_col(c)), FINANCE_TERM, 1), "metric")
 
 
 def phrase_entities(c: ColumnOrName) -> Column:
-    phrases = F.filter(find_all(as_col(c), PHRASE, 1, "U"), lambda m: F.length(m) < PHRASE_CHARS)
+    phrases = F.filter(find_all(as_col(c), PHRASE, 1), lambda m: F.length(m) < PHRASE_CHARS)
     return _labelled(phrases, "concept")
 
 
@@ -82,8 +91,7 @@ def entities_of(c: ColumnOrName, opts: Options = DEFAULTS) -> Column:
     """``array<struct<label, type>>``: years, amounts, ML terms, finance terms, phrases; first type wins."""
     text = as_col(c)
     found = F.concat(
-        year_entities(text), amount_entities(text), ml_entities(text),
-        finance_entities(text), phrase_entities(text),
+        year_entities(text), amount_entities(text), ml_entities(text), finance_entities(text), phrase_entities(text)
     )
     return F.slice(first_per_label(found), 1, opts.entities_per_chunk)
 
@@ -100,22 +108,34 @@ def _captured(low: Column, pattern: str, first: int, second: int, kind: str) ->
     )
 
 
-def change_relations(c: ColumnOrName) -> Column:
-    low = F.lower(as_col(c))
-    return F.concat(
-        _captured(low, ROSE, 2, 3, "INCREASED_FROM"), _captured(low, FELL, 2, 3, "DECREASED_FROM")
+_NO_RELATIONS = "array<struct<`from`:string,`to`:string,type:string>>"
+
+
+def _where(condition: Column, relations: Column) -> Column:
+    """Relations of texts that can have any; a plain search is far cheaper than the patterns."""
+    return F.when(condition, relations).otherwise(F.array().cast(_NO_RELATIONS))
+
+
+def change_relations(low: Column) -> Column:
+    return _where(
+        low.contains("from"),
+        F.concat(
+            _captured(low, ROSE, 2, 3, "INCREASED_FROM"), _captured(low, FELL, 2, 3, "DECREASED_FROM")
+        ),
     )
 
 
-def use_relations(c: ColumnOrName) -> Column:
-    low = F.lower(as_col(c))
-    return F.concat(
-        _captured(low, IS_USED_FOR, 1, 2, "USED_FOR"), _captured(low, USED_FOR, 1, 2, "USED_FOR")
+def use_relations(low: Column) -> Column:
+    return _where(
+        low.contains("used"),
+        F.concat(
+            _captured(low, IS_USED_FOR, 1, 2, "USED_FOR"), _captured(low, USED_FOR, 1, 2, "USED_FOR")
+        ),
     )
 
 
 def _labels_in(sentence: Column, pattern: str, group: int) -> Column:
-    found = F.transform(find_all(sentence, pattern, group), canonical_label)
+    found = F.transform(find_words(sentence, pattern, group), canonical_label)
     return F.array_distinct(F.filter(found, lambda x: x != ""))
 
 
@@ -172,27 +192,33 @@ def with_known_ends(relations: Column, labels: Column) -> Column:
 
 def relations_of(c: ColumnOrName, entities: Column, opts: Options = DEFAULTS) -> Column:
     """``array<struct<from, to, type>>``: the rules in order, both ends known, first of each kept."""
-    text = as_col(c)
     return let(
         F.transform(entities, lambda e: e["label"]),
-        lambda labels: F.slice(
-            F.array_distinct(
-                with_known_ends(
-                    F.concat(
-                        change_relations(text),
-                        use_relations(text),
-                        let(sentences(text), lambda s: value_relations(s, labels)),
-                        let(sentences(text), lambda s: association_relations(s, labels)),
-                    ),
-                    labels,
-                )
+        lambda labels: let(
+            F.lower(as_col(c)),
+            lambda low: F.slice(
+                F.array_distinct(
+                    with_known_ends(
+                        F.concat(change_relations(low), use_relations(low), _sentence_relations(low, labels)),
+                        labels,
+                    )
+                ),
+                1,
+                opts.relations_per_chunk,
             ),
-            1,
-            opts.relations_per_chunk,
         ),
     )
 
 
+def _sentence_relations(low: Column, labels: Column) -> Column:
+    """Both rules that pair a finance term with something else in its sentence."""
+    def pairs(sents: Column) -> Column:
+        related = _where(has_words(low, ML_TERM), association_relations(sents, labels))
+        return F.concat(value_relations(sents, labels), related)
+
+    return _where((F.size(labels) > 1) & has_words(low, FINANCE_TERM), let(sentences(low), pairs))
+
+
 def confidence_of(n_entities: Column, n_relations: Column, c: ColumnOrName) -> Column:
     text = as_col(c)
     coverage = F.least(F.lit(1.0), n_entities * F.lit(0.12) + n_relations * F.lit(0.18))

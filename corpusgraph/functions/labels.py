@@ -63,10 +63,11 @@ def canonical_label(raw: ColumnOrName) -> Column:
             (F.length(s) == 0)
             | (F.length(s) > 64)
             | s.isin(STOP_LABELS)
-            | (s.rlike(r"(?U)^(in|the|a|an)\s+") & (F.length(s) > 24))
-            | (s.contains(",") & (F.length(s) > 32))
+            | ((F.length(s) > 24) & s.rlike(r"(?U)^(in|the|a|an)\s+"))
+            | ((F.length(s) > 32) & s.contains(","))
         )
-        trimmed = F.when(s.rlike(r"(…|\.\.\.)$"), strip(F.regexp_replace(s, r"[….]+$", ""))).otherwise(s)
+        unfinished = s.endswith("…") | s.endswith("...")
+        trimmed = F.when(unfinished, strip(F.rtrim(s, F.lit("….")))).otherwise(s)
         return F.when(rejected, F.lit("")).otherwise(trimmed)
 
     def synonym(s: Column) -> Column:

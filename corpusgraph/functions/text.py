@@ -22,8 +22,19 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+# Fixed value: the characters that count as white space at the ends of a text.
+WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + (
+    "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(c: ColumnOrName) -> Column:
-    return F.regexp_replace(as_col(c), r"(?U)^\s+|\s+$", "")
+    """Trim white space of every kind; unlike a pattern, this looks at the ends of the text only."""
+    return F.btrim(as_col(c), F.lit(WHITE_SPACE))
+
+
+def strip_end(c: ColumnOrName) -> Column:
+    return F.rtrim(as_col(c), F.lit(WHITE_SPACE))
 
 
 def is_blank(c: ColumnOrName) -> Column:
@@ -105,5 +116,5 @@ def clip(c: ColumnOrName, chars: int) -> Column:
 def ellipsis(c: ColumnOrName, chars: int) -> Column:
     """First ``chars`` characters without trailing blanks, and an ellipsis where text was cut."""
     t = as_col(c)
-    cut = F.regexp_replace(clip(t, chars), r"(?U)\s+$", "")
+    cut = strip_end(clip(t, chars))
     return F.when(F.length(t) > chars, F.concat(cut, F.lit("…"))).otherwise(cut)

@@ -19,8 +19,10 @@ from ..functions.similarity import Embedder, HashedCounts
 from ..functions.text import clip
 from ..options import DEFAULTS, Options
 
-# Vectors in a shard, questions in a block, and questions that may be sent to every task.
+# Vectors in a shard and in a task's group, questions in a block, and questions that may be sent to
+# every task.
 SHARD_ROWS = 16384
+GROUP_ROWS = 8192
 BLOCK_QUERIES = 2048
 BROADCAST_QUERIES = 2048
 _SLICE = 256
@@ -79,15 +81,32 @@ def _hits_table(query_ids, ks, ids, rows, cols, scores) -> pa.Table:
     })
 
 
+def _rows_by_part(parts: np.ndarray) -> dict[int, np.ndarray]:
+    """Row numbers of each part number."""
+    order = np.argsort(parts, kind="stable")
+    values, starts = np.unique(parts[order], return_index=True)
+    return dict(zip(values.tolist(), np.split(order, starts[1:])))
+
+
 def _search_group(cosine: bool):
+    """Search of one task's group: many parts, each with its own questions and vectors."""
     def search(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        if not queries.num_rows or not vectors.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "chunk_id": pa.array([], pa.string()),
-                             "score": pa.array([], pa.float64()), "k": pa.array([], pa.int32())})
-        query_ids, ks = queries["query_id"].to_numpy(), queries["k"].to_numpy()
-        ids = np.asarray(vectors["v_chunk_id"].to_pylist(), dtype=object)
-        best = _best(_matrix(queries["embedding"]), ks, _matrix(vectors["v_embedding"]), ids, cosine)
-        return _hits_table(query_ids, ks, ids, *best)
+        found = []
+        if queries.num_rows and vectors.num_rows:
+            query_ids, ks = queries["query_id"].to_numpy(), queries["k"].to_numpy()
+            ids = np.asarray(vectors["v_chunk_id"].to_pylist(), dtype=object)
+            asked, held = _matrix(queries["embedding"]), _matrix(vectors["v_embedding"])
+            names = pa.chunked_array([*queries["part"].chunks, *vectors["v_part"].chunks]).combine_chunks()
+            codes = names.dictionary_encode().indices.to_numpy()
+            q_parts, v_parts = _rows_by_part(codes[:len(ks)]), _rows_by_part(codes[len(ks):])
+            for part, q in q_parts.items():
+                v = v_parts.get(part)
+                if v is not None:
+                    rows, cols, scores = _best(asked[q], ks[q], held[v], ids[v], cosine)
+                    found.append((q[rows], v[cols], scores))
+        if not found:
+            return _hits_table(np.array([], np.int64), np.array([], np.int32), np.array([], object), *[np.array([], np.int64)] * 3)
+        return _hits_table(query_ids, ks, ids, *[np.concatenate(x) for x in zip(*found)])
 
     return search
 
@@ -121,16 +140,23 @@ def scoped_topk(queries: DataFrame, vectors: DataFrame, cosine: bool = True) ->
     left = blocked.join(shards, "document_id").select("document_id", "shard", "block", "query_id", "k", "embedding")
     blocks = blocked.select("document_id", "block").distinct()
     right = sharded.join(blocks, "document_id").select("document_id", "shard", "block", "chunk_id", "embedding")
-    return _search_groups(left, right, ["document_id", "shard", "block"], cosine)
+    return _search_groups(left, right, ["document_id", "shard", "block"], vectors.count(), cosine)
 
 
-def _search_groups(left: DataFrame, right: DataFrame, keys: list[str], cosine: bool) -> DataFrame:
-    """Match groups of questions with groups of vectors; the sides may come from one table, so names differ."""
-    renamed = right.select(
-        *[F.col(k).alias(f"v_{k}") for k in keys], F.col("chunk_id").alias("v_chunk_id"), F.col("embedding").alias("v_embedding")
+def _search_groups(left: DataFrame, right: DataFrame, keys: list[str], n_vectors: int, cosine: bool) -> DataFrame:
+    """Match parts of questions with parts of vectors that have the same keys.
+
+    Small parts share a task's group, so that a document of a few chunks costs no call of its own. The
+    sides may come from one table, so their columns get different names.
+    """
+    groups = max(left.sparkSession.sparkContext.defaultParallelism, -(-n_vectors // GROUP_ROWS))
+    part = F.concat_ws("#", *[F.col(k).cast("string") for k in keys])
+    group = F.pmod(F.xxhash64(*keys), F.lit(groups))
+    asked = left.select(group.alias("group"), part.alias("part"), "query_id", "k", "embedding")
+    held = right.select(
+        group.alias("v_group"), part.alias("v_part"), F.col("chunk_id").alias("v_chunk_id"), F.col("embedding").alias("v_embedding")
     )
-    sides = left.groupBy(*keys).cogroup(renamed.groupBy(*[f"v_{k}" for k in keys]))
-    return _ranked(sides.applyInArrow(_search_group(cosine), _HITS))
+    return _ranked(asked.groupBy("group").cogroup(held.groupBy("v_group")).applyInArrow(_search_group(cosine), _HITS))
 
 
 def corpus_topk(queries: DataFrame, vectors: DataFrame, cosine: bool = True) -> DataFrame:
@@ -151,7 +177,7 @@ def corpus_topk(queries: DataFrame, vectors: DataFrame, cosine: bool = True) ->
     right = points.withColumn("shard", F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))
     )
-    return _search_groups(left, right, ["shard", "block"], cosine)
+    return _search_groups(left, right, ["shard", "block"], shards * blocks * SHARD_ROWS, cosine)
 
 
 def _search_in_place(wanted: DataFrame, points: DataFrame, cosine: bool) -> DataFrame:
