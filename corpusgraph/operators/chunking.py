@@ -156,10 +156,13 @@ def block_starts(units: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     found = items.join(range_entry.select("document_id", "range", "entry"), ["document_id", "range"]).select(
         "document_id", "range", _starts(F.col("items"), F.col("entry"), limit).alias("starts")
     )
+    # One narrow row for each range takes part in the window over a document.
     earlier = W.partitionBy("document_id").orderBy("range").rowsBetween(W.unboundedPreceding, -1)
-    return found.withColumn(
-        "open_block", F.last(F.try_element_at("starts", F.lit(-1)), ignorenulls=True).over(earlier)
+    ends = found.select("document_id", "range", F.try_element_at("starts", F.lit(-1)).alias("last_start"))
+    opened = ends.select(
+        "document_id", "range", F.last("last_start", ignorenulls=True).over(earlier).alias("open_block")
     )
+    return found.join(opened, ["document_id", "range"])
 
 
 def structural_blocks(units: DataFrame, opts: Options = DEFAULTS) -> DataFrame:

@@ -1,8 +1,7 @@
 """Connected components of a large graph by alternating star contractions.
 
 Each round only groups by node with a minimum (combined before the shuffle) and joins one row for each
-node back to the edges, so a node with very many edges is split by the adaptive skew join. The number
-of rounds grows with the logarithm of the component size, not with the diameter.
+node back to the edges, with the edges of heavy nodes salted. The number of rounds grows with the logarithm of the component size, not with the diameter.
 """
 
 from __future__ import annotations
@@ -11,28 +10,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from . import skew
 
 MAX_ROUNDS = 60
 
 
 def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("low"))
+    return edges.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _with_low(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
+    """The least neighbour beside each edge; no node can be heavy in a table smaller than the limit."""
+    if 2 * n_edges <= skew.HEAVY_ROWS:
+        return edges.join(low.select("u", "low"), "u")
+    return skew.salted_join(edges, low.select("u", "low"), ["u"], ["v"], counts=low.select("u", "n"))
+
+
+def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Link the greater neighbours of each node to the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = _least_neighbour(both).select("u", F.least("u", "low").alias("low"))
+    linked = _with_low(both, _least_neighbour(both), n_edges)
     return (
-        both.join(low, "u").filter(F.col("v") > F.col("u"))
-        .select(F.col("v").alias("u"), F.col("low").alias("v")).filter("u <> v").distinct()
+        linked.filter(F.col("v") > F.col("u"))
+        .select(F.col("v").alias("u"), F.least("u", "low").alias("v")).filter("u <> v").distinct()
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
     """Link each node and its lesser neighbours to the least of them; edges run from greater to less."""
     low = _least_neighbour(edges)
-    moved = edges.join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
+    moved = _with_low(edges, low, n_edges).select(F.col("v").alias("u"), F.col("low").alias("v"))
     return moved.unionByName(low.select("u", F.col("low").alias("v"))).filter("u <> v").distinct()
 
 
@@ -58,7 +65,8 @@ def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     while not _is_star_forest(current):
         if rounds == MAX_ROUNDS:
             raise RuntimeError("connected components did not settle")
-        current = cut_lineage(_small_star(_large_star(current)))
+        n_edges = current.count()
+        current = cut_lineage(_small_star(_large_star(current, n_edges), n_edges))
         rounds += 1
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

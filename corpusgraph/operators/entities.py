@@ -15,6 +15,7 @@ from ..functions.labels import canonical_label, entity_type_or_concept, graph_ke
 from ..functions.text import let, strip, text_or_empty
 from ..options import DEFAULTS, Options
 from ..sources.responses import parse_responses
+from .skew import salted_join
 
 _ENTITIES = "array<struct<label:string,type:string>>"
 _RELATIONS = "array<struct<`from`:string,`to`:string,type:string>>"
@@ -44,8 +45,7 @@ def extract_chunks(chunks: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
 def extract_once(chunks: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     """The same, extracting each distinct text once; ``reused`` marks all but its first chunk.
 
-    The join back has one row for each text on one side, so a text with very many chunks is split by
-    the adaptive skew join.
+    The join back has one row for each text on one side; texts with very many chunks are salted.
     """
     hashed = chunks.withColumn("text", strip(text_or_empty("text"))).withColumn("text_hash", text_hash(F.col("text")))
     position = F.struct("document_id", "chunk_seq")
@@ -57,7 +57,7 @@ def extract_once(chunks: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     )
     results = extract_chunks(distinct, opts).drop("text")
     return (
-        hashed.join(results, "text_hash")
+        salted_join(hashed, results, ["text_hash"], ["document_id", "chunk_seq"])
         .withColumn("reused", position != F.col("first_use"))
         .drop("first_use")
     )

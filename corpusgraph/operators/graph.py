@@ -14,6 +14,7 @@ from ..options import DEFAULTS, Options
 from .components import connected_components
 from .entities import mention_rows, relation_rows
 from .ordering import with_text_rank
+from .skew import salted_join
 
 
 @dataclass
@@ -94,10 +95,8 @@ def communities(entities: DataFrame, relations: DataFrame) -> DataFrame:
         "label", F.expr("substring(root, length(document_id) + 3)")
     )
     ranked = with_text_rank(roots, ["document_id"], "label", "community_id")
-    return placed.join(
-        ranked.select("document_id", "root", F.col("community_id").cast("int").alias("community_id")),
-        ["document_id", "root"],
-    ).select("document_id", "graph_key", "community_id")
+    numbered = ranked.select("document_id", "root", F.col("community_id").cast("int").alias("community_id"))
+    return salted_join(placed, numbered, ["document_id", "root"], ["graph_key"]).select("document_id", "graph_key", "community_id")
 
 
 def build_graph(extracted: DataFrame, opts: Options = DEFAULTS, with_communities: bool = True) -> GraphTables:
@@ -186,8 +185,10 @@ def links_with_known_end(nodes: DataFrame, links: DataFrame) -> DataFrame:
     as_source = ids.select("document_id", F.col("id").alias("source"), F.lit(True).alias("__s"))
     as_target = ids.select("document_id", F.col("id").alias("target"), F.lit(True).alias("__t"))
     return (
-        links.join(as_source, ["document_id", "source"], "left")
-        .join(as_target, ["document_id", "target"], "left")
+        salted_join(
+            salted_join(links, as_source, ["document_id", "source"], ["target", "type"], "left"),
+            as_target, ["document_id", "target"], ["source", "type"], "left",
+        )
         .filter(F.col("__s").isNotNull() | F.col("__t").isNotNull())
         .select(*links.columns)
     )

@@ -11,6 +11,7 @@ from ..functions.text import clip, strip, text_or_empty
 from ..options import DEFAULTS, Options
 from .dedup import prefix_dedup
 from .graph import GraphTables
+from .skew import salted_join
 from .vectors import corpus_topk, scoped_topk
 
 # The words that make a question a keyword question, and those that join topics.
@@ -149,10 +150,16 @@ def induced_edges(nodes: DataFrame, g: GraphTables, opts: Options = DEFAULTS) ->
     degree = g.relationships.select(F.explode(F.array("from_key", "to_key")).alias("graph_key")).groupBy(
         "graph_key"
     ).agg(F.count(F.lit(1)).alias("degree"))
+    def with_degree(rows: DataFrame, key: str, name: str, other: str) -> DataFrame:
+        named = degree.withColumnRenamed("graph_key", key)
+        return salted_join(
+            rows, named.withColumnRenamed("degree", name), [key], [other, "rel_type"],
+            counts=named.withColumnRenamed("degree", "n"),
+        )
+
+    plain = g.relationships.select("from_key", "to_key", "rel_type")
     edges = (
-        g.relationships.select("from_key", "to_key", "rel_type")
-        .join(degree.select(F.col("graph_key").alias("from_key"), F.col("degree").alias("d_from")), "from_key")
-        .join(degree.select(F.col("graph_key").alias("to_key"), F.col("degree").alias("d_to")), "to_key")
+        with_degree(with_degree(plain, "from_key", "d_from", "to_key"), "to_key", "d_to", "from_key")
         .withColumn("near", F.when(F.col("d_from") <= F.col("d_to"), F.col("from_key")).otherwise(F.col("to_key")))
         .withColumn("far", F.when(F.col("d_from") <= F.col("d_to"), F.col("to_key")).otherwise(F.col("from_key")))
         .select("near", "far", "from_key", "to_key", "rel_type")
@@ -193,7 +200,10 @@ def context_chunks(hits: DataFrame, vectors: DataFrame, g: GraphTables, opts: Op
         "chunk_id", clip("text", opts.vector_text_chars).alias("v_text"), F.col("source").alias("v_source"),
         F.col("page").alias("v_page"),
     )
-    found = hits.join(graph_side, "chunk_id", "left").join(vector_side, "chunk_id", "left").select(
+    # A chunk may be among the hits of a great part of the questions.
+    found = salted_join(
+        salted_join(hits, graph_side, ["chunk_id"], ["query_id"], "left"), vector_side, ["chunk_id"], ["query_id"], "left"
+    ).select(
         "query_id", "rank", "chunk_id",
         F.coalesce("g_text", "v_text").alias("text"), F.coalesce("g_source", "v_source").alias("source"),
         F.coalesce("g_page", "v_page").alias("page"), F.coalesce("in_graph", F.lit(False)).alias("in_graph"),

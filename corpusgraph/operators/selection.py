@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import Embedder, HashedCounts
 from ..options import DEFAULTS, Options
 from .graph import allowed_relations, relation_ends
+from .skew import salted_join
 
 # Weight of each relation type, and the entity types that score a bonus.
 RELATION_WEIGHTS = {
@@ -89,7 +90,7 @@ def top_relations(
         "document_id", "from_key", "to_key", "from_name", "to_name", "rel_type"
     ).agg(F.count(F.lit(1)).alias("frequency"))
     importance = mentions.groupBy("document_id", "graph_key").agg(F.count(F.lit(1)).alias("mentions"))
-    # The mention count of a selected key rides along with the semi join's key.
+    # The mention count of a selected key rides along with the key it is selected by.
     known = selected.join(importance, ["document_id", "graph_key"], "left").select(
         "document_id", "graph_key", F.coalesce("mentions", F.lit(0)).alias("mentions")
     )
@@ -99,7 +100,10 @@ def top_relations(
     score = (F.col("m_from") + F.col("m_to")) * 2.0 + F.col("frequency") * 2.0 + weight
     order = W.partitionBy("document_id").orderBy(F.col("score").desc(), "from_key", "to_key", "rel_type")
     return (
-        counted.join(sources, ["document_id", "from_key"]).join(targets, ["document_id", "to_key"])
+        salted_join(
+            salted_join(counted, sources, ["document_id", "from_key"], ["to_key", "rel_type"]),
+            targets, ["document_id", "to_key"], ["from_key", "rel_type"],
+        )
         .withColumn("score", score)
         .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= opts.max_relationships)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import Embedder, HashedCounts
 from ..functions.text import clip
 from ..options import DEFAULTS, Options
+from .skew import salted_join
 
 # Vectors in a shard and in a task's group, questions in a block, and questions that may be sent to
 # every task.
@@ -121,8 +122,9 @@ def _ranked(hits: DataFrame) -> DataFrame:
 
 def _blocked(queries: DataFrame, keys: list[str]) -> DataFrame:
     """Number blocks of questions of a bounded size inside each group."""
-    sizes = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).alias("blocks"))
-    return queries.join(sizes, keys).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
+    sizes = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    blocks = sizes.select(*keys, F.ceil(F.col("n") / BLOCK_QUERIES).alias("blocks"))
+    return salted_join(queries, blocks, keys, ["query_id"], counts=sizes).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
 
 
 def scoped_topk(queries: DataFrame, vectors: DataFrame, cosine: bool = True) -> DataFrame:
