@@ -72,9 +72,13 @@ def normal_form(c: ColumnOrName) -> Column:
     s = F.lower(strip(text_or_empty(c)))
     s = F.regexp_replace(s, r"(?U)[^\w\s\d\.\-]", " ")
     s = F.regexp_replace(s, r"(?U)\s+", " ")
-    s = F.regexp_replace(s, r"(?iU)\b(\d+)\s*(?:million|mn|m)\b", "$1m")
-    s = F.regexp_replace(s, r"(?iU)\b(\d+)\s*(?:billion|bn|b)\b", "$1b")
-    return strip(s)
+
+    def short_amounts(t: Column) -> Column:
+        millions = F.regexp_replace(t, r"(?U)\b(\d+)\s*(?:million|mn|m)\b", "$1m")
+        both = F.regexp_replace(millions, r"(?U)\b(\d+)\s*(?:billion|bn|b)\b", "$1b")
+        return F.when(t.rlike(r"(?U)\d"), both).otherwise(t)
+
+    return strip(let(s, short_amounts))
 
 
 def content_hash(c: ColumnOrName) -> Column:

@@ -23,7 +23,7 @@ def _with_low(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
     """The least neighbour beside each edge; no node can be heavy in a table smaller than the limit."""
     if 2 * n_edges <= skew.HEAVY_ROWS:
         return edges.join(low.select("u", "low"), "u")
-    return skew.salted_join(edges, low.select("u", "low"), ["u"], ["v"], counts=low.select("u", "n"))
+    return skew.salted_join(edges, low, ["u"], ["v"], rows="n")
 
 
 def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:

@@ -152,10 +152,7 @@ def induced_edges(nodes: DataFrame, g: GraphTables, opts: Options = DEFAULTS) ->
     ).agg(F.count(F.lit(1)).alias("degree"))
     def with_degree(rows: DataFrame, key: str, name: str, other: str) -> DataFrame:
         named = degree.withColumnRenamed("graph_key", key)
-        return salted_join(
-            rows, named.withColumnRenamed("degree", name), [key], [other, "rel_type"],
-            counts=named.withColumnRenamed("degree", "n"),
-        )
+        return salted_join(rows, named.withColumn(name, F.col("degree")), [key], [other, "rel_type"], rows="degree")
 
     plain = g.relationships.select("from_key", "to_key", "rel_type")
     edges = (

@@ -17,17 +17,21 @@ SALTS = 64
 
 def salted_join(
     big: DataFrame, small: DataFrame, keys: list[str], spread_by: list[str],
-    how: str = "inner", counts: DataFrame | None = None,
+    how: str = "inner", rows: str | None = None,
 ) -> DataFrame:
     """``big.join(small, keys, how)`` with heavy keys of ``big`` spread over several tasks.
 
-    ``spread_by``: columns that tell the rows of a key apart. ``counts``: ``keys`` and ``n``, the rows
-    of each key in ``big`` (or more), where they are known already.
+    ``spread_by``: columns that tell the rows of a key apart. ``rows``: a column of ``small`` that holds
+    the rows of its key in ``big`` (or more), where that is known already; it is dropped.
     """
-    sizes = counts if counts is not None else big.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    heavy = F.broadcast(sizes.filter(F.col("n") > HEAVY_ROWS).select(*keys, F.lit(True).alias("__heavy")))
+    if rows is None:
+        sizes, count = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")), "__n"
+    else:
+        sizes, count = small, rows
+    heavy = F.broadcast(sizes.filter(F.col(count) > HEAVY_ROWS).select(*keys, F.lit(True).alias("__heavy")))
     salt = F.when(F.col("__heavy"), F.pmod(F.xxhash64(*spread_by), F.lit(SALTS))).otherwise(F.lit(0).cast("bigint"))
     salts = F.when(F.col("__heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     left = big.join(heavy, keys, "left").withColumn("__salt", salt).drop("__heavy")
-    right = small.join(heavy, keys, "left").withColumn("__salt", F.explode(salts.cast("array<bigint>"))).drop("__heavy")
+    marked = small.join(heavy, keys, "left") if rows is None else small.withColumn("__heavy", F.col(rows) > HEAVY_ROWS)
+    right = marked.withColumn("__salt", F.explode(salts.cast("array<bigint>"))).drop("__heavy", rows or "__heavy")
     return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -123,8 +123,8 @@ def _ranked(hits: DataFrame) -> DataFrame:
 def _blocked(queries: DataFrame, keys: list[str]) -> DataFrame:
     """Number blocks of questions of a bounded size inside each group."""
     sizes = queries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    blocks = sizes.select(*keys, F.ceil(F.col("n") / BLOCK_QUERIES).alias("blocks"))
-    return salted_join(queries, blocks, keys, ["query_id"], counts=sizes).withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
+    blocks = sizes.withColumn("blocks", F.ceil(F.col("n") / BLOCK_QUERIES))
+    return salted_join(queries, blocks, keys, ["query_id"], rows="n").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")))
 
 
 def scoped_topk(queries: DataFrame, vectors: DataFrame, cosine: bool = True) -> DataFrame:
