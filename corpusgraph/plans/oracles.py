@@ -273,6 +273,21 @@ RETRIEVAL = FACT_GRAPH + "," + HITS
 
 FEED = "feed AS (SELECT user_id AS session_id, event_id AS seq, event_type AS type, ts, json_extract_string(props, '$.k') AS k FROM events)"
 
+def _adjacent(source: str, key: str, name: str) -> str:
+    """``{name}_sent`` and ``{name}_adj`` of a table with a key and a sentence list ``sl``."""
+    return f"""
+{name}_sent AS (SELECT {key}, unnest(sl) AS s, unnest(range(1, len(sl) + 1)) AS i FROM {source}),
+{name}_cnt AS (SELECT {key}, i, t, count(*) AS c FROM (SELECT {key}, i, unnest({tokens('s')}) AS t FROM {name}_sent) GROUP BY ALL),
+{name}_nrm AS (SELECT {key}, i, CAST(sum(c * c) AS DOUBLE) AS n FROM {name}_cnt GROUP BY ALL),
+{name}_dot AS (SELECT x.{key}, x.i, CAST(sum(x.c * y.c) AS DOUBLE) AS d FROM {name}_cnt x JOIN {name}_cnt y ON x.{key} = y.{key} AND y.i = x.i + 1 AND x.t = y.t GROUP BY ALL),
+{name}_adj AS (
+  SELECT s.{key}, s.i AS position, coalesce(d.d / sqrt(a.n * b.n), 0.0::DOUBLE) AS similarity
+  FROM {name}_sent s JOIN {name}_sent s2 ON s2.{key} = s.{key} AND s2.i = s.i + 1
+  LEFT JOIN {name}_dot d ON d.{key} = s.{key} AND d.i = s.i
+  LEFT JOIN {name}_nrm a ON a.{key} = s.{key} AND a.i = s.i
+  LEFT JOIN {name}_nrm b ON b.{key} = s.{key} AND b.i = s.i + 1)"""
+
+
 # Each document as one block of sentences, and the word-count cosine of neighbours.
 DOC_SENTENCES = f"""
 doc_s AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, text, {sentences('text')} AS sl FROM documents),
@@ -375,6 +390,7 @@ SELECT document_id, unit_seq, NOT ok AS needs_translation, CAST(CASE WHEN ok THE
         f"CAST(least({n}, length(text)) AS INTEGER) AS {k}" for k, n in previews.items()) + " FROM lines"
 
     # chunking
+    words = rf"regexp_split_to_array({strip('text')}, '\s+')"
     sql["sentence_stats"] = f"""WITH {DOC_SENTENCES} SELECT document_id, count(*) AS sentences, CAST(sum({estimate('s')}) AS BIGINT) AS tokens, CAST(max(length(s)) AS INTEGER) AS longest FROM sent GROUP BY document_id"""
     sql["section_headers"] = f"""WITH {LINES}, h AS (SELECT document_id, unit_seq, page || ' ' || text AS text FROM lines)
 SELECT document_id, unit_seq, text FROM h WHERE {HEADER}"""
@@ -405,7 +421,6 @@ cut AS (SELECT d.document_id, d.text, array_to_string(sl[1:w.position], ' ') AS
   {estimate('d.text')} >= 80 AND len(sl) >= 3 AND w.similarity <= 0.1 AS ok FROM doc_s d LEFT JOIN weak w USING (document_id)),
 cut2 AS (SELECT *, coalesce(ok AND {estimate('l')} >= 75 AND {estimate('r')} >= 75, false) AS yes FROM cut)
 SELECT document_id, 0 AS half, CASE WHEN yes THEN l ELSE text END AS text FROM cut2 UNION ALL SELECT document_id, 1, r FROM cut2 WHERE yes"""
-    words = rf"regexp_split_to_array({strip('text')}, '\s+')"
     sql["size_windows"] = f"""WITH d AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, text, {words} AS w FROM documents),
 e AS (SELECT document_id, unnest(range(0, greatest(len(w), 1), 399)) AS st, w FROM d WHERE {estimate('text')} > 400),
 seg AS (SELECT document_id, st, array_to_string(w[st + 1:st + 400], ' ') AS text FROM e)
@@ -414,6 +429,40 @@ UNION ALL SELECT document_id, 0, text FROM d WHERE {estimate('text')} <= 400"""
     sql["coherence"] = f"""WITH {DOC_SENTENCES}, m AS (SELECT document_id, avg(similarity) AS a FROM adj GROUP BY document_id)
 SELECT document_id, round(CASE WHEN len(sl) <= 1 THEN 0.95::DOUBLE ELSE a END, 6) AS score, round(CASE WHEN len(sl) <= 1 THEN 0.95::DOUBLE ELSE a END, 6) >= 0.1 AS kept
 FROM doc_s LEFT JOIN m USING (document_id)"""
+    sql["chunk_stats"] = f"""WITH RECURSIVE {LINES},
+u AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY unit_seq) AS n, {HEADER} AS header, {estimate('text')} AS tokens FROM lines),
+{_packing('u', 400)},
+blocks AS (SELECT w.document_id, w.block_seq, string_agg(u.text, chr(10) || chr(10) ORDER BY w.n) AS text
+  FROM walk w JOIN u ON u.document_id = w.document_id AND u.n = w.n GROUP BY w.document_id, w.block_seq),
+bs AS (SELECT document_id || '#' || block_seq AS b, document_id, text, {sentences('text')} AS sl FROM blocks),
+{_adjacent('bs', 'b', 's1')},
+g AS (SELECT s.b, s.i, s.s, sum(CASE WHEN a.similarity < 0.1 THEN 1 ELSE 0 END) OVER (PARTITION BY s.b ORDER BY s.i) AS p
+  FROM s1_sent s LEFT JOIN s1_adj a ON a.b = s.b AND a.position = s.i - 1),
+piece AS (SELECT g.b || '/' || p AS pk, any_value(bs.document_id) AS document_id,
+    CASE WHEN len(any_value(bs.sl)) <= 1 THEN any_value(bs.text) ELSE string_agg(g.s, ' ' ORDER BY g.i) END AS text FROM g JOIN bs USING (b) GROUP BY g.b, p),
+ps AS (SELECT pk, document_id, text, {sentences('text')} AS sl FROM piece),
+{_adjacent('ps', 'pk', 's2')},
+weak AS (SELECT pk, position, similarity FROM s2_adj QUALIFY row_number() OVER (PARTITION BY pk ORDER BY similarity, position) = 1),
+cut AS (SELECT ps.pk, ps.document_id, ps.text, array_to_string(sl[1:w.position], ' ') AS l, array_to_string(sl[w.position + 1:], ' ') AS r,
+  {estimate('ps.text')} >= 80 AND len(sl) >= 3 AND w.similarity <= 0.42 AS ok FROM ps LEFT JOIN weak w ON w.pk = ps.pk),
+cut2 AS (SELECT *, coalesce(ok AND {estimate('l')} >= 75 AND {estimate('r')} >= 75, false) AS yes FROM cut),
+refined AS (SELECT pk || '/0' AS d, document_id, CASE WHEN yes THEN l ELSE text END AS text FROM cut2 UNION ALL SELECT pk || '/1', document_id, r FROM cut2 WHERE yes),
+rw AS (SELECT d, document_id, {words} AS w FROM refined WHERE {estimate('text')} > 400),
+re AS (SELECT d, document_id, unnest(range(0, greatest(len(w), 1), 399)) AS st, w FROM rw),
+rs AS (SELECT d || '/' || st AS e, document_id, array_to_string(w[st + 1:st + 400], ' ') AS text FROM re),
+sized AS (SELECT * FROM rs WHERE {estimate('text')} >= 150 UNION ALL SELECT d || '/', document_id, text FROM refined WHERE {estimate('text')} <= 400),
+zs AS (SELECT e, document_id, {sentences('text')} AS sl FROM sized),
+{_adjacent('zs', 'e', 's3')},
+scored AS (SELECT zs.document_id, CASE WHEN len(sl) <= 1 THEN 0.95::DOUBLE ELSE m.a END AS score FROM zs LEFT JOIN (SELECT e, avg(similarity) AS a FROM s3_adj GROUP BY e) m USING (e)),
+counts AS (
+  SELECT document_id, 'a' AS k, count(*) AS n FROM bs GROUP BY 1 UNION ALL SELECT document_id, 'b', count(*) FROM piece GROUP BY 1
+  UNION ALL SELECT document_id, 'c', count(*) FROM refined GROUP BY 1 UNION ALL SELECT document_id, 'd', count(*) FROM sized GROUP BY 1
+  UNION ALL SELECT document_id, 'e', count(*) FROM scored WHERE score >= 0.05 GROUP BY 1)
+SELECT document_id, CAST(sum(CASE WHEN k = 'a' THEN n END) AS BIGINT) AS structural, CAST(sum(CASE WHEN k = 'b' THEN n END) AS BIGINT) AS semantic,
+  CAST(sum(CASE WHEN k = 'c' THEN n END) AS BIGINT) AS refined, CAST(coalesce(sum(CASE WHEN k = 'd' THEN n END), 0) AS BIGINT) AS sized,
+  CAST(coalesce(sum(CASE WHEN k = 'e' THEN n END), 0) AS BIGINT) AS kept,
+  CAST(coalesce(sum(CASE WHEN k = 'd' THEN n END), 0) - coalesce(sum(CASE WHEN k = 'e' THEN n END), 0) AS BIGINT) AS dropped
+FROM counts GROUP BY document_id"""
     sql["chunk_numbers"] = f"""WITH {DOC_SENTENCES}, j AS (SELECT document_id, CASE WHEN len(sl) <= 1 THEN text ELSE array_to_string(sl, ' ') END AS text FROM doc_s),
 d AS (SELECT document_id, text, {words} AS w FROM j),
 e AS (SELECT document_id, unnest(range(0, greatest(len(w), 1), 399)) AS st, w FROM d WHERE {estimate('text')} > 400),
@@ -549,6 +598,23 @@ FROM qs LEFT JOIN tl USING (query_id) LEFT JOIN pl USING (query_id)""")
 cr AS (SELECT query_id, chunk_id, list('(' || split_part(source, '::', 2) || ')-[' || type || ']->(' || split_part(target, '::', 2) || ')' ORDER BY source, target, type)[1:15] AS r FROM cedges GROUP BY ALL)
 SELECT c.query_id, c.position, c.chunk_id, 1 AS page, 'page_1' AS source, c.text, coalesce(array_to_string(e, '|'), '') AS graph_entities, coalesce(array_to_string(r, '|'), '') AS graph_relationships
 FROM cites c LEFT JOIN ce USING (query_id, chunk_id) LEFT JOIN cr USING (query_id, chunk_id)""")
+    sql["citation_dedup"] = f"""WITH RECURSIVE {RETRIEVAL},
+ct AS (SELECT DISTINCT text FROM ctx),
+cnt AS (SELECT text, t, count(*) AS c FROM (SELECT text, unnest({tokens('text')}) AS t FROM ct) GROUP BY ALL),
+cn AS (SELECT text, CAST(sum(c * c) AS DOUBLE) AS n FROM cnt GROUP BY text),
+cs AS (SELECT a.text AS ta, b.text AS tb, CAST(sum(a.c * b.c) AS DOUBLE) AS d FROM cnt a JOIN cnt b USING (t) GROUP BY ALL),
+near AS (
+  SELECT b.query_id, b.position, list(a.position) AS near FROM ctx b JOIN ctx a ON a.query_id = b.query_id AND a.position < b.position
+  JOIN cs ON cs.ta = a.text AND cs.tb = b.text JOIN cn x ON x.text = a.text JOIN cn y ON y.text = b.text
+  WHERE d / sqrt(x.n * y.n) >= 0.92 GROUP BY ALL),
+cc AS (SELECT c.query_id, c.position, c.chunk_id, coalesce(near, []) AS near FROM ctx c LEFT JOIN near USING (query_id, position)),
+fold AS (
+  SELECT query_id, position, [position] AS kept FROM cc WHERE position = 1
+  UNION ALL
+  SELECT c.query_id, c.position, CASE WHEN len(f.kept) < 5 AND NOT list_has_any(f.kept, c.near) THEN list_append(f.kept, c.position) ELSE f.kept END
+  FROM fold f JOIN cc c ON c.query_id = f.query_id AND c.position = f.position + 1),
+final AS (SELECT query_id, arg_max(kept, position) AS kept FROM fold GROUP BY query_id)
+SELECT query_id, position, chunk_id FROM cc JOIN final USING (query_id) WHERE list_contains(kept, position)"""
     sql["query_confidence"] = r("""SELECT query_id, round(least(1.0, greatest(0.2,
   greatest(least(1.0, coalesce(e.n, 0) / 10.0::DOUBLE), least(1.0, coalesce(n.n, 0) / 15.0::DOUBLE)) * 0.4::DOUBLE
   + least(1.0, coalesce(h.n, 0)) * 0.3::DOUBLE + least(1.0, coalesce(c.n, 0) / 5.0::DOUBLE) * 0.3::DOUBLE)), 6) AS confidence
