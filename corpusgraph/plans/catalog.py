@@ -212,7 +212,8 @@ CHUNKING = Options(similarity_threshold=0.1, coherence_min=0.05, refine_min_term
 
 @query
 def chunk_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.chunk_units(c.doc_units(spark, sf), CHUNKING)
+    chunks = chunking.chunk_units(c.doc_units(spark, sf), CHUNKING)
+    return chunks.withColumn("coherence_score", F.round("coherence_score", 6))
 
 
 @query

@@ -429,7 +429,7 @@ UNION ALL SELECT document_id, 0, text FROM d WHERE {estimate('text')} <= 400"""
     sql["coherence"] = f"""WITH {DOC_SENTENCES}, m AS (SELECT document_id, avg(similarity) AS a FROM adj GROUP BY document_id)
 SELECT document_id, round(CASE WHEN len(sl) <= 1 THEN 0.95::DOUBLE ELSE a END, 6) AS score, round(CASE WHEN len(sl) <= 1 THEN 0.95::DOUBLE ELSE a END, 6) >= 0.1 AS kept
 FROM doc_s LEFT JOIN m USING (document_id)"""
-    sql["chunk_stats"] = f"""WITH RECURSIVE {LINES},
+    stages = f"""WITH RECURSIVE {LINES},
 u AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY unit_seq) AS n, {HEADER} AS header, {estimate('text')} AS tokens FROM lines),
 {_packing('u', 400)},
 blocks AS (SELECT w.document_id, w.block_seq, string_agg(u.text, chr(10) || chr(10) ORDER BY w.n) AS text
@@ -453,7 +453,8 @@ rs AS (SELECT d || '/' || st AS e, document_id, array_to_string(w[st + 1:st + 40
 sized AS (SELECT * FROM rs WHERE {estimate('text')} >= 150 UNION ALL SELECT d || '/', document_id, text FROM refined WHERE {estimate('text')} <= 400),
 zs AS (SELECT e, document_id, {sentences('text')} AS sl FROM sized),
 {_adjacent('zs', 'e', 's3')},
-scored AS (SELECT zs.document_id, CASE WHEN len(sl) <= 1 THEN 0.95::DOUBLE ELSE m.a END AS score FROM zs LEFT JOIN (SELECT e, avg(similarity) AS a FROM s3_adj GROUP BY e) m USING (e)),
+scored AS (SELECT zs.e, zs.document_id, CASE WHEN len(sl) <= 1 THEN 0.95::DOUBLE ELSE m.a END AS score FROM zs LEFT JOIN (SELECT e, avg(similarity) AS a FROM s3_adj GROUP BY e) m USING (e))"""
+    sql["chunk_stats"] = stages + """,
 counts AS (
   SELECT document_id, 'a' AS k, count(*) AS n FROM bs GROUP BY 1 UNION ALL SELECT document_id, 'b', count(*) FROM piece GROUP BY 1
   UNION ALL SELECT document_id, 'c', count(*) FROM refined GROUP BY 1 UNION ALL SELECT document_id, 'd', count(*) FROM sized GROUP BY 1
@@ -463,6 +464,13 @@ SELECT document_id, CAST(sum(CASE WHEN k = 'a' THEN n END) AS BIGINT) AS structu
   CAST(coalesce(sum(CASE WHEN k = 'e' THEN n END), 0) AS BIGINT) AS kept,
   CAST(coalesce(sum(CASE WHEN k = 'd' THEN n END), 0) - coalesce(sum(CASE WHEN k = 'e' THEN n END), 0) AS BIGINT) AS dropped
 FROM counts GROUP BY document_id"""
+    sql["chunk_documents"] = stages + """,
+kept AS (
+  SELECT e, document_id, score, CAST(split_part(split_part(e, '#', 2), '/', 1) AS BIGINT) AS block_seq, CAST(split_part(e, '/', 2) AS BIGINT) AS p,
+    CAST(split_part(e, '/', 3) AS BIGINT) AS h, coalesce(TRY_CAST(split_part(e, '/', 4) AS BIGINT), 0) AS st FROM scored WHERE score >= 0.05),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY block_seq, p, h, st) - 1 AS chunk_seq FROM kept)
+SELECT n.document_id, sha256(n.document_id || '#' || n.chunk_seq) AS chunk_id, n.chunk_seq, z.text, l.source, l.page, 'text' AS type, round(n.score, 6) AS coherence_score
+FROM numbered n JOIN sized z USING (e) JOIN lines l ON l.document_id = n.document_id AND l.unit_seq = n.block_seq"""
     sql["chunk_numbers"] = f"""WITH {DOC_SENTENCES}, j AS (SELECT document_id, CASE WHEN len(sl) <= 1 THEN text ELSE array_to_string(sl, ' ') END AS text FROM doc_s),
 d AS (SELECT document_id, text, {words} AS w FROM j),
 e AS (SELECT document_id, unnest(range(0, greatest(len(w), 1), 399)) AS st, w FROM d WHERE {estimate('text')} > 400),
