@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .line_dedup import dedup_lines
+from .packing import pack
 from .quality_rules import judge_quality
+from .token_counts import document_token_counts
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -17,13 +19,23 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return document_token_counts(_read(spark, folder, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = judge_quality(_read(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          "base_failed", "kept", "distance")
 
 
+def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_read(spark, folder, "documents"))
+
+
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
+    "op6_token_counts": op6_token_counts,
     "op9_quality_rules": op9_quality_rules,
+    "op10_packing": op10_packing,
 }
