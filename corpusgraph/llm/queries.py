@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .html_extract import extract_text, learn_weights
 from .line_dedup import dedup_lines
 from .packing import pack
 from .quality_rules import judge_quality
 from .token_counts import document_token_counts
+from .url_filter import judge_urls
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -23,6 +25,15 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return document_token_counts(_read(spark, folder, "documents"))
 
 
+def op7_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(_read(spark, folder, "pages"), _read(spark, folder, "labels"))
+
+
+def op8_html_extract(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _read(spark, folder, "pages")
+    return extract_text(pages, learn_weights(pages, _read(spark, folder, "documents")))
+
+
 def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = judge_quality(_read(spark, folder, "documents"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
@@ -36,6 +47,8 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_url_filter": op7_url_filter,
+    "op8_html_extract": op8_html_extract,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
 }
