@@ -1,5 +1,31 @@
 """The queries that SQL can express, as DuckDB SQL over the same tables."""
 
+OP1_SUBSTRING_DEDUP = r"""
+WITH words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, ws
+  FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)
+),
+windows AS (
+  SELECT doc_id, pos, array_to_string(ws[pos:pos + 34], ' ') AS seq FROM words WHERE pos + 34 <= len(ws)
+),
+repeated AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY seq) AS n FROM windows) WHERE n > 1
+),
+covered AS (
+  SELECT w.doc_id, w.pos, w.word,
+         count(r.pos) OVER (PARTITION BY w.doc_id ORDER BY w.pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) > 0 AS gone
+  FROM words w LEFT JOIN repeated r ON w.doc_id = r.doc_id AND w.pos = r.pos
+),
+kept AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+         coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE NOT gone), '') AS kept_text
+  FROM covered GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept_text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
 OP4_LINE_DEDUP = r"""
 WITH lines AS (
   SELECT doc_id, pos, line,
@@ -22,5 +48,6 @@ FROM marked GROUP BY doc_id
 """
 
 ORACLES = {
+    "op1_substring_dedup": OP1_SUBSTRING_DEDUP,
     "op4_line_dedup": OP4_LINE_DEDUP,
 }

@@ -8,6 +8,7 @@ from .html_extract import extract_text, learn_weights
 from .line_dedup import dedup_lines
 from .packing import pack
 from .quality_rules import judge_quality
+from .substring_dedup import dedup_substrings
 from .token_counts import document_token_counts
 from .url_filter import judge_urls
 
@@ -16,6 +17,11 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = dedup_substrings(_read(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = dedup_lines(_read(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -45,6 +51,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_url_filter": op7_url_filter,
