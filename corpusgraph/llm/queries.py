@@ -10,6 +10,7 @@ from .packing import pack
 from .quality_rules import judge_quality
 from .substring_dedup import dedup_substrings
 from .token_counts import document_token_counts
+from .toxicity import fit_toxicity
 from .url_filter import judge_urls
 
 
@@ -22,6 +23,11 @@ def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _read(spark, folder, "documents")
+    return fit_toxicity(docs, _read(spark, folder, "labels")).score(docs)
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = dedup_lines(_read(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -52,6 +58,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_toxicity": op2_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_url_filter": op7_url_filter,
