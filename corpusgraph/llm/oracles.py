@@ -26,6 +26,32 @@ SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
+OP3_NEAR_DEDUP = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 2 THEN [array_to_string(ws, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) END AS s
+  FROM words
+),
+items AS (SELECT doc_id, len(s) AS n, unnest(s) AS item FROM sets),
+shared AS (
+  SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS n_both
+  FROM items a JOIN items b ON a.item = b.item AND a.doc_id <> b.doc_id GROUP BY 1, 2
+),
+links AS (SELECT u, v FROM shared WHERE 100 * n_both >= 80 * (na + nb - n_both)),
+reached(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION SELECT r.doc_id, l.v FROM reached r JOIN links l ON r.other = l.u
+),
+components AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+FROM sets s JOIN components c ON s.doc_id = c.doc_id
+"""
+
 OP4_LINE_DEDUP = r"""
 WITH lines AS (
   SELECT doc_id, pos, line,
@@ -49,5 +75,6 @@ FROM marked GROUP BY doc_id
 
 ORACLES = {
     "op1_substring_dedup": OP1_SUBSTRING_DEDUP,
+    "op3_near_dedup": OP3_NEAR_DEDUP,
     "op4_line_dedup": OP4_LINE_DEDUP,
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .html_extract import extract_text, learn_weights
 from .line_dedup import dedup_lines
+from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import judge_quality
 from .substring_dedup import dedup_substrings
@@ -28,6 +29,10 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return fit_toxicity(docs, _read(spark, folder, "labels")).score(docs)
 
 
+def op3_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(_read(spark, folder, "documents"), shingle=2)
+
+
 def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = dedup_lines(_read(spark, folder, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -59,6 +64,7 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
+    "op3_near_dedup": op3_near_dedup,
     "op4_line_dedup": op4_line_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_url_filter": op7_url_filter,
