@@ -1,5 +1,7 @@
 """The queries that SQL can express, as DuckDB SQL over the same tables."""
 
+from .decontaminate import PUNCTUATION, UNITS
+
 OP1_SUBSTRING_DEDUP = r"""
 WITH words AS (
   SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos, ws
@@ -73,8 +75,72 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
 FROM marked GROUP BY doc_id
 """
 
+# Windows meet by their template strings here, not by hashes.
+OP5_DECONTAMINATION = r"""
+WITH texts AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT 'b', min(item_id), text FROM benchmark WHERE text IS NOT NULL GROUP BY text
+),
+raw AS (
+  SELECT side, id, row_number() OVER () AS r, regexp_split_to_array(text, '[\x20\x09-\x0D]+') AS ws FROM texts
+),
+words AS (
+  SELECT side, id, r, generate_subscripts(ws, 1) AS i, unnest(ws) AS w,
+         list_concat([''], ws[1:len(ws) - 1]) AS before
+  FROM raw
+),
+cores AS (SELECT side, id, r, i, trim(w, PUNCT) AS core, before[i] AS prev FROM words),
+marked AS (
+  SELECT side, id, r, i, core, lower(core) AS low,
+    CASE WHEN core >= '0' AND core < ':' THEN '<number>'
+         WHEN left(core, 1) <> left(lower(core), 1) AND i > 1 AND right(prev, 1) NOT IN ('.', '!', '?', ':', '') THEN '<name>'
+         WHEN lower(core) IN (UNITS) AND trim(prev, PUNCT) BETWEEN '0' AND ':' THEN '<unit>' END AS kind
+  FROM cores WHERE core <> ''
+),
+tokens AS (
+  SELECT side, id, r, list(coalesce(kind, low) ORDER BY i) AS ts,
+         list(CASE WHEN kind = '<number>' THEN core WHEN kind IS NOT NULL THEN low END ORDER BY i) AS vs, count(*) AS n
+  FROM marked GROUP BY side, id, r
+),
+docs AS (SELECT id AS doc_id, r, ts, vs, n FROM tokens WHERE side = 'd'),
+items AS (SELECT id AS item_id, ts, vs, n AS n_item, least(n, 8) AS size FROM tokens WHERE side = 'b'),
+item_windows AS (
+  SELECT item_id, n_item, size, pos, ts[pos:pos + size - 1] AS tpl, vs[pos:pos + size - 1] AS iv
+  FROM (SELECT *, unnest(range(1, n_item - size + 2)) AS pos FROM items)
+  WHERE 2 * len(list_filter(vs[pos:pos + size - 1], lambda v: v IS NOT NULL)) <= size
+),
+doc_windows AS (
+  SELECT doc_id, r, size, place, ts[place:place + size - 1] AS tpl, vs[place:place + size - 1] AS dv
+  FROM (SELECT d.*, s.size, unnest(range(1, n - s.size + 2)) AS place FROM docs d, (SELECT DISTINCT size FROM items) s WHERE d.n >= s.size)
+),
+hits AS (
+  SELECT doc_id, r, item_id, n_item, i.size, pos, place - pos AS diagonal, i.tpl, iv, dv
+  FROM item_windows i JOIN doc_windows d ON i.size = d.size AND i.tpl = d.tpl
+),
+slots AS (
+  SELECT DISTINCT doc_id, r, item_id, diagonal, tpl[k] || chr(1) || iv[k] AS b, tpl[k] || chr(1) || dv[k] AS d
+  FROM (SELECT *, unnest(range(1, size + 1)) AS k FROM hits) WHERE iv[k] IS NOT NULL
+),
+slot_sums AS (
+  SELECT doc_id, r, item_id, diagonal, count(*) AS n, count(DISTINCT b) AS nb, count(DISTINCT d) AS nd, bool_or(b <> d) AS changed
+  FROM slots GROUP BY ALL
+),
+runs AS (
+  SELECT doc_id, r, item_id, n_item, diagonal, sum(least(size, pos - before)) AS covered
+  FROM (SELECT *, coalesce(lag(pos) OVER (PARTITION BY doc_id, r, item_id, diagonal ORDER BY pos), pos - size) AS before
+        FROM (SELECT DISTINCT doc_id, r, item_id, n_item, size, pos, diagonal FROM hits))
+  GROUP BY ALL
+)
+SELECT u.doc_id, u.item_id, max(covered)::BIGINT AS n_covered, max(n_item)::BIGINT AS n_item,
+       bool_and(coalesce(changed, false)) AS reworded
+FROM runs u LEFT JOIN slot_sums s ON u.doc_id = s.doc_id AND u.r = s.r AND u.item_id = s.item_id AND u.diagonal = s.diagonal
+WHERE coalesce(n = nb AND n = nd, true) AND covered >= least(13, 0.8 * n_item)
+GROUP BY u.doc_id, u.item_id
+""".replace("PUNCT", "'" + PUNCTUATION.replace("'", "''") + "'").replace("UNITS", ", ".join(f"'{u}'" for u in UNITS))
+
 ORACLES = {
     "op1_substring_dedup": OP1_SUBSTRING_DEDUP,
     "op3_near_dedup": OP3_NEAR_DEDUP,
     "op4_line_dedup": OP4_LINE_DEDUP,
+    "op5_decontamination": OP5_DECONTAMINATION,
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import contaminated
 from .html_extract import extract_text, learn_weights
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
@@ -38,6 +39,10 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return document_token_counts(_read(spark, folder, "documents"))
 
@@ -66,6 +71,7 @@ QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op3_near_dedup": op3_near_dedup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_token_counts": op6_token_counts,
     "op7_url_filter": op7_url_filter,
     "op8_html_extract": op8_html_extract,
