@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
-A text becomes tokens: words without punctuation at both ends, in lower case. Numbers, names (capitalised words that
-do not begin a sentence) and units (after a number) become typed placeholders that keep their value as a slot.
+A text becomes tokens: words of letters and digits, in lower case. Numbers, names (capitalised words that do not begin
+a sentence) and units (after a number) are typed placeholders in its template; their values are slots.
 Windows of ``WINDOW`` tokens are hashed by their templates and joined with the benchmark's. Hits of one document and
 item on one diagonal (the same distance between their places) belong together. They count if the slots are
 consistent, that is if the item's slot values map one to one to the document's; so a question with other numbers or
@@ -28,36 +28,34 @@ WINDOW = 8
 MIN_COVERED = 13
 MIN_SHARE = 0.8
 MAX_BROADCAST = 1_000_000
-PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»…–—¿¡"
-SENTENCE_ENDS = [".", "!", "?", ":"]
 UNITS = ("km m cm mm kg g mg lb lbs oz l ml mph kmh miles mile meters metres meter metre feet foot ft inches inch dollars "
          "dollar euros euro cents pounds percent hours hour minutes minute seconds second days day weeks week months month "
          "years year degrees tons tonnes litres liters gallons").split()
-# Between a placeholder and its value.
-SLOT = "\x01"
+# Put before a name.
+NAME = "\x01"
+# A capital after a small letter, digit, comma or semicolon and a blank begins a name; letters, digits, and points and
+# commas between digits make words.
+NAME_START = r"(?=\p{Lu})(?<=[\p{Ll}\p{N},;]\s)"
+BETWEEN_WORDS = r"(?:[^\p{L}\p{N}\x01.,]|[.,](?![0-9])|[.,](?<![0-9][.,]))+"
+KINDS = ["", "number", "name", "unit"]
 
 
-def tokens(text: str = "text") -> Column:
-    """Canonical tokens; a placeholder is followed by SLOT and its value."""
-    raw = F.split(F.coalesce(F.col(text), F.lit("")), r"[\x20\x09-\x0D]+")
+def _is_number(token: Column) -> Column:
+    return (token >= "0") & (token < ":")
 
-    def token(word: Column, i: Column) -> Column:
-        core = F.btrim(word, F.lit(PUNCTUATION))
-        low = F.lower(core)
-        previous = F.get(raw, i - 1)
-        is_number = (core >= "0") & (core < ":")
-        is_unit = low.isin(UNITS) & F.btrim(previous, F.lit(PUNCTUATION)).between("0", ":")
-        is_name = (F.left(core, F.lit(1)) != F.left(low, F.lit(1))) & (i > 0) & ~F.right(previous, F.lit(1)).isin([*SENTENCE_ENDS, ""])
-        return (
-            F.when(is_number, F.concat(F.lit("<number>" + SLOT), core))
-            .when(is_name, F.concat(F.lit("<name>" + SLOT), low))
-            .when(is_unit, F.concat(F.lit("<unit>" + SLOT), low)).otherwise(low))
 
-    return F.filter(F.transform(raw, token), lambda t: t != "")
+def with_tokens(rows: DataFrame) -> DataFrame:
+    """``tokens`` (lower-cased words, names marked) and their template ``hashes`` in place of ``text``.
 
-
-def _template_hashes(column: str) -> Column:
-    return F.transform(F.col(column), lambda t: F.xxhash64(F.substring_index(t, SLOT, 1)))
+    Each step is a column of its own, so that a token's look at the one before does not split the text anew.
+    """
+    marked = F.lower(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), NAME_START, NAME))
+    rows = rows.withColumn("tokens", F.split(marked, BETWEEN_WORDS)).drop("text")
+    rows = rows.withColumn("tokens", F.filter("tokens", lambda t: t != ""))
+    number, name, unit = (F.xxhash64(F.lit(NAME + k)) for k in KINDS[1:])
+    return rows.withColumn("hashes", F.transform("tokens", lambda t, i: (
+        F.when(t < ":", F.when(t >= "0", number).otherwise(name))
+        .when(t.isin(UNITS) & _is_number(F.get("tokens", i - 1)), unit).otherwise(F.xxhash64(t)))))
 
 
 def _windows(hashes: str, size: int) -> Column:
@@ -66,20 +64,21 @@ def _windows(hashes: str, size: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.lit(size), *[F.get(F.col(hashes), i + k) for k in range(size)]))
 
 
-def _hashed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("tokens", tokens()).drop("text").withColumn("hashes", _template_hashes("tokens"))
-
-
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``item_id, n_item, size, at, window, item_tokens`` of the windows that say enough."""
+    """``item_id, n_item, size, at, window, item_tokens, kinds`` of the windows that say enough."""
     items = benchmark.filter("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    hashed = _hashed(items).withColumn("n_item", F.size("tokens")).filter("n_item > 0")
+    kinds = F.transform("tokens", lambda t, i: (
+        F.when(t < ":", F.when(t >= "0", "number").otherwise("name"))
+        .when(t.isin(UNITS) & _is_number(F.get("tokens", i - 1)), "unit").otherwise("")))
+    hashed = with_tokens(items).withColumns({"kinds": kinds, "n_item": F.size("tokens")}).filter("n_item > 0")
     sizes = [F.when(F.least("n_item", F.lit(WINDOW)) == k, _windows("hashes", k)) for k in range(1, WINDOW + 1)]
     exploded = hashed.select(
-        "item_id", "n_item", F.least("n_item", F.lit(WINDOW)).alias("size"), "tokens",
+        "item_id", "n_item", F.least("n_item", F.lit(WINDOW)).alias("size"), "tokens", "kinds",
         F.posexplode(F.coalesce(*sizes)).alias("at", "window"))
-    own = exploded.select("item_id", "n_item", "size", "at", "window", F.slice("tokens", F.col("at") + 1, F.col("size")).alias("item_tokens"))
-    placeholders = F.size(F.filter("item_tokens", lambda t: F.contains(t, F.lit(SLOT))))
+    own = exploded.select(
+        "item_id", "n_item", "size", "at", "window", F.slice("tokens", F.col("at") + 1, F.col("size")).alias("item_tokens"),
+        F.slice("kinds", F.col("at") + 1, F.col("size")).alias("kinds"))
+    placeholders = F.size(F.filter("kinds", lambda k: k != ""))
     return own.filter(2 * placeholders <= F.col("size"))
 
 
@@ -88,7 +87,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "benchmark")
     known = scratch.table(benchmark_windows(benchmark))
     size = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()
-    hashed = _hashed(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), "text"))
+    hashed = with_tokens(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), "text"))
     hits = None
     for k in sorted(size["sizes"]) or [WINDOW]:  # one size, and those of shorter items
         places = hashed.select("doc_id", "row", "tokens", F.posexplode(_windows("hashes", k)).alias("place", "window"))
@@ -97,13 +96,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = F.broadcast(items)
         met = places.join(items, "window").select(
             "doc_id", "row", "item_id", "n_item", "size", "at", (F.col("place") - F.col("at")).alias("diagonal"),
-            F.filter(F.arrays_zip(F.col("item_tokens").alias("b"), F.slice("tokens", F.col("place") + 1, F.lit(k)).alias("d")),
-                     lambda s: F.contains(s["b"], F.lit(SLOT))).alias("slots"))
+            F.filter(F.arrays_zip(F.col("kinds").alias("k"), F.col("item_tokens").alias("b"), F.slice("tokens", F.col("place") + 1, F.lit(k)).alias("d")),
+                     lambda s: s["k"] != "").alias("slots"))
         hits = met if hits is None else hits.unionByName(met)
     lines = hits.groupBy("doc_id", "row", "item_id", "n_item", "size", "diagonal").agg(
         F.array_sort(F.collect_set("at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     n_slots = F.size("slots")
-    consistent = (F.size(F.array_distinct("slots.b")) == n_slots) & (F.size(F.array_distinct("slots.d")) == n_slots)
+    item_side = F.transform("slots", lambda s: F.struct(s["k"], s["b"]))
+    document_side = F.transform("slots", lambda s: F.struct(s["k"], s["d"]))
+    consistent = (F.size(F.array_distinct(item_side)) == n_slots) & (F.size(F.array_distinct(document_side)) == n_slots)
     start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
     covered = F.aggregate(
         "ats", start, lambda acc, at: F.struct(at.alias("last"), (acc["n"] + F.least(F.col("size"), at - acc["last"])).alias("n")),
