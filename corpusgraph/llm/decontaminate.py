@@ -33,10 +33,12 @@ UNITS = ("km m cm mm kg g mg lb lbs oz l ml mph kmh miles mile meters metres met
          "years year degrees tons tonnes litres liters gallons").split()
 # Put before a name.
 NAME = "\x01"
-# A capital after a small letter, digit, comma or semicolon and a blank begins a name; letters, digits, and points and
-# commas between digits make words.
+# Stands for a point or comma between digits.
+POINT = "\x02"
+# A capital after a small letter, digit, comma or semicolon and a blank begins a name.
 NAME_START = r"(?=\p{Lu})(?<=[\p{Ll}\p{N},;]\s)"
-BETWEEN_WORDS = r"(?:[^\p{L}\p{N}\x01.,]|[.,](?![0-9])|[.,](?<![0-9][.,]))+"
+POINT_IN_NUMBER = r"[.,](?<=[0-9].)(?=[0-9])"
+BETWEEN_WORDS = r"[^\p{L}\p{N}\x01\x02]+"
 KINDS = ["", "number", "name", "unit"]
 
 
@@ -49,7 +51,8 @@ def with_tokens(rows: DataFrame) -> DataFrame:
 
     Each step is a column of its own, so that a token's look at the one before does not split the text anew.
     """
-    marked = F.lower(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), NAME_START, NAME))
+    named = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), NAME_START, NAME)
+    marked = F.lower(F.regexp_replace(named, POINT_IN_NUMBER, POINT))
     rows = rows.withColumn("tokens", F.split(marked, BETWEEN_WORDS)).drop("text")
     rows = rows.withColumn("tokens", F.filter("tokens", lambda t: t != ""))
     number, name, unit = (F.xxhash64(F.lit(NAME + k)) for k in KINDS[1:])
