@@ -197,8 +197,10 @@ def learn_weights(pages: DataFrame, documents: DataFrame, limit: int = LABELLED_
     """Weights of tag kinds from at most ``limit`` pages whose url ends with the id of a document."""
     number = F.regexp_extract("url", r"/(\d{1,18})(?:\.[A-Za-z]+)?/?(?:[?#].*)?\z", 1)
     shown = pages.filter("html is not null").select(F.when(number != "", number.cast("bigint")).alias("shown"), "html")
-    sample = shown.filter("shown is not null").orderBy(F.xxhash64("shown"), "html").limit(limit)
-    known = documents.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("shown"), "text")
+    # The sample has at most ``limit`` ids, and one page for each.
+    ids = F.broadcast(shown.filter("shown is not null").select("shown").distinct().orderBy(F.xxhash64("shown"), "shown").limit(limit))
+    sample = shown.join(ids, "shown").groupBy("shown").agg(F.min("html").alias("html"))
+    known = documents.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("shown"), "text").join(ids, "shown")
     places = sample.join(known, "shown").select("html", "text").mapInArrow(
         _tag_places, "kind string, inside bigint, outside bigint")
     # One row for each kind of tag in the sample.

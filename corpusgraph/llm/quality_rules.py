@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, buffers, mix, slices, span_hashes, strings, word_spans
+from .common import Scratch, buffers, id_or_last, mix, row_key, slices, span_hashes, strings, word_spans
 
 MIN_WORDS = 50
 SUPPORT = 0.75
@@ -84,12 +84,12 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def text_stats(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, source`` and the base statistics of every row."""
+    """``doc_id, lang, source``, the row's key (``__id, __row``) and its base statistics."""
     kinds = ", ".join(f"{n} bigint" for n in _STATS)
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
-        F.col("source").cast("string").alias("source"), "text",
-    ).mapInArrow(_stats, f"doc_id bigint, lang string, source string, {kinds}")
+        F.col("source").cast("string").alias("source"), id_or_last().alias("__id"), row_key().alias("__row"), "text",
+    ).mapInArrow(_stats, f"doc_id bigint, lang string, source string, __id bigint, __row bigint, {kinds}")
 
 
 def base_failed() -> Column:
@@ -194,14 +194,13 @@ def estimates(rows: DataFrame, scratch: Scratch, steps: int = STEPS) -> DataFram
     return now
 
 
-def judge_quality(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF) -> DataFrame:
-    """``doc_id``, base statistics, ``base_failed``, ``distance`` (null where the base rules fail), ``kept``."""
+def judge_quality(docs: DataFrame, steps: int = STEPS, cutoff: float = CUTOFF, keep_key: bool = False) -> DataFrame:
+    """``doc_id``, base statistics, ``base_failed``, ``distance`` (null where the base rules fail), ``kept``.
+
+    ``keep_key``: add ``__id, __row``, which tell rows apart by id and text.
+    """
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.table(text_stats(docs))
-    return _judged(stats, scratch, steps, cutoff)
-
-
-def _judged(stats: DataFrame, scratch: Scratch, steps: int, cutoff: float) -> DataFrame:
     rows = _with_group(stats, scratch.table(_labels(stats))).withColumns(features())
     table = estimates(rows.filter(~base_failed()).select("group", *FEATURES), scratch, steps)
     limit = chi2_quantile(cutoff, len(FEATURES))
@@ -209,4 +208,4 @@ def _judged(stats: DataFrame, scratch: Scratch, steps: int, cutoff: float) -> Da
     judged = rows.join(table, "group", "left").withColumn("distance", F.when(~failed, _distance()))
     return judged.select(
         "doc_id", "lang", "source", *_STATS, failed.alias("base_failed"), "distance",
-        (~failed & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit)).alias("kept"))
+        (~failed & (F.coalesce(F.col("distance"), F.lit(0.0)) <= limit)).alias("kept"), *(["__id", "__row"] if keep_key else []))
