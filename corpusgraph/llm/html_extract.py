@@ -1,11 +1,12 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
 A page is a sequence of words and tags. Words score +1, words inside menus, headers, footers, sidebars, notices,
-adverts, forms and comment sections score -1, and tags score the negative weight of their kind. A linear scan finds
+adverts, forms and comment sections nothing, and tags score the negative weight of their kind. A linear scan finds
 the contiguous region with the highest sum; its words outside those elements are the text. Weights come from
 labelled pages (pages whose document's text is known): a kind of tag that stands between words of the text costs
-little, one that stands elsewhere costs the logarithm of its odds. A tag inside one of those elements is another kind
-than the same tag elsewhere. Kinds without a label have default weights.
+little, one that stands elsewhere costs the logarithm of its odds. An advert amid the text so costs little, a menu
+before it much. A tag inside one of those elements is another kind than the same tag elsewhere. Kinds without a label
+have default weights.
 
 The fit uses at most ``LABELLED_PAGES`` pages (those with the smallest id hashes). All pages are extracted whole.
 
@@ -30,7 +31,7 @@ from .common import strings
 
 LABELLED_PAGES = 500
 SMALLEST = 0.05
-DEFAULT = 1.0
+CONTAINER = 0.5
 # Marks the kinds of tags inside menus, adverts and the like.
 INSIDE = "~"
 
@@ -53,6 +54,7 @@ ASIDE_NAMES = frozenset(
     "cookie cookies copyright disqus footer footnav form gdpr header login masthead menu menus modal nav navbar navigation "
     "newsletter notice notices pager pagination popup promo promos promotion related replies reply respond share sharing "
     "sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split())
+CONTAINERS = frozenset("html body article main section div table".split())
 WHOLE = frozenset("html body article main".split())
 
 
@@ -149,10 +151,9 @@ def _main_text(parts: list[tuple[str, str, int, bool]], weights: dict[str, float
     for kind, text, _, aside in parts:
         if kind:
             plain = kind.split(".")[0]
-            scores.append(-weights.get(kind, weights.get(plain, SMALLEST if plain.lstrip("/") in INLINE else DEFAULT)))
+            scores.append(-weights.get(kind, weights.get(plain, CONTAINER if plain.lstrip("/") in CONTAINERS else SMALLEST)))
         else:
-            n = len(text.split())
-            scores.append(float(-n if aside else n))
+            scores.append(0.0 if aside else float(len(text.split())))
     low, high = best_region(scores)
     blocks: dict[int, list[str]] = {}
     for kind, text, block, aside in parts[low:high]:
@@ -163,7 +164,8 @@ def _main_text(parts: list[tuple[str, str, int, bool]], weights: dict[str, float
 
 
 def _tag_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each kind of tag: how often it stands between words of the known text, and how often not."""
+    """Of each kind of tag: how often it stands between words of the known text (not counting those of menus, adverts
+    and the like), and how often not."""
     for batch in batches:
         inside, outside = Counter(), Counter()
         for page, text in zip(strings(batch.column("html")).to_pylist(), strings(batch.column("text")).to_pylist()):
@@ -171,8 +173,8 @@ def _tag_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first = " ".join(text.split())
             parts = parts_of(page)
             blocks: dict[int, list[str]] = {}
-            for kind, piece, block, _ in parts:
-                if not kind:
+            for kind, piece, block, aside in parts:
+                if not kind and not aside:
                     blocks.setdefault(block, []).append(piece)
             known = {}
             for block, pieces in blocks.items():
@@ -180,10 +182,10 @@ def _tag_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if line:
                     known[block] = line in lines or first.startswith(line)
             before, waiting = False, []
-            for kind, _, block, _ in parts:
+            for kind, _, block, aside in parts:
                 if kind:
                     waiting.append(kind)
-                elif block in known:
+                elif block in known and not aside:
                     (inside if before and known[block] else outside).update(waiting)
                     before, waiting = known[block], []
             outside.update(waiting)

@@ -105,13 +105,14 @@ def _scan(separator: int, width: int, header: int, block_tokens: int):
                     ids, null = np.zeros(n, np.int64), np.ones(n, bool)
                 yield pa.RecordBatch.from_arrays([
                     pa.array([file.as_py()] * (n + 1), pa.string()),
+                    pa.array([block] * (n + 1), pa.int64()),
                     pa.array(np.append(starts, base), pa.int64()),
                     pa.array(np.append(ids, 0), pa.int64(), mask=np.append(null, True)),
                     pa.array(np.append(stop, -1), pa.int64(), mask=np.append(stop < 0, True)),
                     pa.array([size] * (n + 1), pa.int64()),
                     pa.array([False] * n + [True]),
                     pa.array([None] * n + [int(ends[0]) if len(ends) else None], pa.int64()),
-                ], names=["file", "start", "doc_id", "stop", "tokens", "is_block", "first_end"])
+                ], names=["file", "block", "start", "doc_id", "stop", "tokens", "is_block", "first_end"])
     return run
 
 
@@ -126,9 +127,10 @@ def count_tokens(spark: SparkSession, folder: str, separator: int = SEPARATOR, w
     cut = F.substring("content", (F.col("block") * step + 1).cast("int"), F.lit(step + (header + 1) * width))
     rows = blocks.select("file", "tokens", "block", cut.alias("bytes")).mapInArrow(
         _scan(separator, width, header, block_tokens),
-        "file string, start bigint, doc_id bigint, stop bigint, tokens bigint, is_block boolean, first_end bigint")
-    # From the end of the file: the nearest separator in a later block. A block's own row comes after its documents.
-    later = Window.partitionBy("file").orderBy(F.floor(F.col("start") / block_tokens).desc(), F.col("is_block").asc()).rowsBetween(
+        "file string, block bigint, start bigint, doc_id bigint, stop bigint, tokens bigint, is_block boolean, first_end bigint")
+    # From the end of the file: the nearest separator in a later block. A document belongs to the block of the
+    # separator before it, and a block's own row comes after its documents.
+    later = Window.partitionBy("file").orderBy(F.col("block").desc(), F.col("is_block").asc()).rowsBetween(
         Window.unboundedPreceding, -1)
     known = rows.withColumn("next", F.last("first_end", ignorenulls=True).over(later))
     stop = F.coalesce("stop", "next", "tokens")

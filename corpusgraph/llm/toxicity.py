@@ -51,13 +51,13 @@ _OTHER = re.compile(r"[\W\d_]+")
 
 
 def fold(text: str) -> str:
-    """The folded text: words of letters, with one blank around each."""
+    """The folded text: words of letters, each with a blank of its own at both ends."""
     text = text.lower()
     if not text.isascii() and _FOREIGN.search(text):
         # Words that are wholly of another script stay as they are.
         text = re.sub(r"\w+", lambda m: m[0].translate(_FOLD) if _LATIN.search(m[0].translate(_FULL_WIDTH)) else m[0], text)
     text = _SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
-    return " " + _OTHER.sub(" ", text) + " "
+    return " " + _OTHER.sub("  ", text).strip() + " "
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -108,7 +108,7 @@ def _automaton(lexicon: dict[str, float], exceptions: list[str]):
     for entry, weight in lexicon.items():
         found.add_word(" " + entry, weight)
     for phrase in exceptions:
-        found.add_word(" " + phrase + " ", 0.0)
+        found.add_word(" " + phrase.replace(" ", "  ") + " ", 0.0)
     if len(found):
         found.make_automaton()
     return found
@@ -142,7 +142,7 @@ def _sums(lexicon: dict[str, float], exceptions: list[str]):
             for text in strings(batch.column("text")).to_pylist():
                 folded = fold(text)
                 total.append(weight_sum(folded, automaton))
-                words.append(folded.count(" ") - 1)
+                words.append(folded.count(" ") // 2)
             keep = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(n) for n in keep), pa.array(total, pa.float64()), pa.array(words, pa.float64())],
