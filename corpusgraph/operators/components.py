@@ -1,7 +1,9 @@
 """Connected components of a large graph by alternating star contractions.
 
-Each round only groups by node with a minimum (combined before the shuffle) and joins one row for each
-node back to the edges, with the edges of heavy nodes salted. The number of rounds grows with the logarithm of the component size, not with the diameter.
+Each round groups by node with a minimum (combined before the shuffle) and joins one row for each node back to the
+edges. Edges are written as Parquet in the shared folder after each round, so an adaptive plan knows their sizes and
+splits the edges of heavy nodes. Whether a star forest is reached takes one aggregate over the nodes. The number of
+rounds grows with the logarithm of the component size, not with the diameter.
 """
 
 from __future__ import annotations
@@ -9,65 +11,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from . import skew
+from ..session import run_table
 
-MAX_ROUNDS = 60
 
+def _with_low(edges: DataFrame) -> DataFrame:
+    """The least neighbour beside each edge."""
+    return edges.join(edges.groupBy("u").agg(F.min("v").alias("low")), "u")
 
-def _least_neighbour(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n"))
 
-
-def _with_low(edges: DataFrame, low: DataFrame, n_edges: int) -> DataFrame:
-    """The least neighbour beside each edge; no node can be heavy in a table smaller than the limit."""
-    if 2 * n_edges <= skew.HEAVY_ROWS:
-        return edges.join(low.select("u", "low"), "u")
-    return skew.salted_join(edges, low, ["u"], ["v"], rows="n")
-
-
-def _large_star(edges: DataFrame, n_edges: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Link the greater neighbours of each node to the least node around it."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    linked = _with_low(both, _least_neighbour(both), n_edges)
-    return (
-        linked.filter(F.col("v") > F.col("u"))
-        .select(F.col("v").alias("u"), F.least("u", "low").alias("v")).filter("u <> v").distinct()
-    )
+    return _with_low(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "low").alias("v"))
 
 
-def _small_star(edges: DataFrame, n_edges: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Link each node and its lesser neighbours to the least of them; edges run from greater to less."""
-    low = _least_neighbour(edges)
-    moved = _with_low(edges, low, n_edges).select(F.col("v").alias("u"), F.col("low").alias("v"))
-    return moved.unionByName(low.select("u", F.col("low").alias("v"))).filter("u <> v").distinct()
+    moved = _with_low(edges).select(F.explode(F.array(
+        F.struct(F.col("v").alias("u"), F.col("low").alias("v")), F.struct("u", F.col("low").alias("v")))).alias("e"))
+    return moved.select("e.u", "e.v").filter("u <> v").distinct()
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
     """Every node hangs on one centre, and no centre hangs on another."""
-    centres = edges.select(F.col("v").alias("u"))
-    return (
-        edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
-        and edges.join(centres, "u", "left_semi").isEmpty()
-    )
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return nodes.agg(F.max((F.col("up") > 1) | ((F.col("up") > 0) & (F.col("down") > 0)))).first()[0] is not True
 
 
 def connected_components(edges: DataFrame, u: str, v: str) -> DataFrame:
     """``node, component`` for every node that has an edge; the component is named by its least node.
 
-    Nodes may be of any ordered type. Each round is written to the checkpoint folder, so that lineage
-    stays short and a lost executor does not repeat earlier rounds.
+    Nodes may be of any ordered type.
     """
-    current = cut_lineage(
-        edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct()
-    )
-    rounds = 0
+    current = run_table(
+        edges.select(F.greatest(u, v).alias("u"), F.least(u, v).alias("v")).filter("u <> v").distinct(), "components")
     while not _is_star_forest(current):
-        if rounds == MAX_ROUNDS:
-            raise RuntimeError("connected components did not settle")
-        n_edges = current.count()
-        current = cut_lineage(_small_star(_large_star(current, n_edges), n_edges))
-        rounds += 1
+        current = run_table(_small_star(_large_star(current)), "components")
     members = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
     roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return members.unionByName(roots)
