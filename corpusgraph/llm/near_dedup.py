@@ -253,12 +253,13 @@ def _blocks(column: str, n: str) -> Column:
 
 def _shipped(rows: DataFrame, needs: DataFrame, shingle: int) -> DataFrame:
     """``group, id, values``: the full sets of ``needs`` (``id, group``)."""
-    lists = needs.groupBy("id").agg(F.collect_set("group").alias("groups"))
+    # One plan at every size: texts are shuffled by id once, and never sorted.
+    lists = needs.groupBy("id").agg(F.collect_set("group").alias("groups")).hint("shuffle_hash")
     return rows.join(lists, "id").select("id", "text", "groups").mapInArrow(
         _ship(shingle), "group bigint, id bigint, values binary")
 
 
-def _grouped(pairs: DataFrame) -> DataFrame:
+def _grouped(pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """``a, b, group``: the group in which a pair is confirmed.
 
     A pair belongs to the least class that its ``a`` is paired with; the documents of such a home are split in
@@ -267,8 +268,9 @@ def _grouped(pairs: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("b").alias("id"), F.col("a").alias("home")).unionByName(
         pairs.select(F.col("a").alias("id"), F.col("a").alias("home")))
     homes = ends.groupBy("id").agg(F.min("home").alias("home"))
-    homed = pairs.join(homes.withColumnRenamed("id", "a"), "a")
-    sizes = homed.groupBy("home").agg(F.approx_count_distinct("b").alias("size"))
+    homed = scratch.table(pairs.join(homes.withColumnRenamed("id", "a"), "a"))
+    # Written, so that the plan knows its size and splits the pairs of a large home.
+    sizes = scratch.table(homed.groupBy("home").agg(F.approx_count_distinct("b").alias("size")))
     return homed.join(sizes, "home").select(
         "a", "b", F.xxhash64("home", _blocks("a", "size"), _blocks("b", "size")).alias("group"))
 
@@ -288,7 +290,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         lists.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_list_pairs, "a bigint, b bigint, hot boolean")
         .groupBy("a", "b").agg(F.max("hot").alias("hot")))
     pairs = found.filter("a <> b").select("a", "b")
-    grouped = scratch.table(_grouped(pairs))
+    grouped = scratch.table(_grouped(pairs, scratch))
     needs = grouped.select(F.col("a").alias("id"), "group").unionByName(grouped.select(F.col("b").alias("id"), "group"))
     links = scratch.table(
         grouped.groupBy("group").cogroup(_shipped(rows, needs, shingle).groupBy("group")).applyInArrow(
@@ -304,7 +306,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     if not hot.isEmpty():
         late = scratch.table(_straggler_links(rows, hot, components, shingle, similarity, scratch))
         if not late.isEmpty():
-            components = scratch.table(connected_components(links.unionByName(late), "u", "v"))
+            components = _merged(components, late, scratch)
 
     class_component = classes.drop("keys").join(components, F.col("rep") == F.col("node"), "left").select(
         "d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
@@ -316,6 +318,18 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
+def _merged(components: DataFrame, late: DataFrame, scratch: Scratch) -> DataFrame:
+    """``components`` after further links: the links run between components, of which few are left."""
+    named = components.select(F.col("node").alias("u"), F.col("component").alias("cu"))
+    ends = late.join(named, "u", "left").join(named.toDF("v", "cv"), "v", "left").select(
+        F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
+    moved = scratch.table(connected_components(ends, "u", "v")).toDF("component", "to")
+    # Classes that had no link before are nodes of their own here.
+    nodes = components.unionByName(moved.join(components.select("component").distinct(), "component", "left_anti").select(
+        F.col("component").alias("node"), "component"))
+    return scratch.table(nodes.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+
+
 def _straggler_links(rows: DataFrame, hot: DataFrame, components: DataFrame, shingle: int, similarity: int,
                      scratch: Scratch) -> DataFrame:
     """Links of the long lists that comparing with the least member did not find."""
