@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.extraction import confidence_of, extraction_of, first_per_label, needs_augmentation
+from ..functions.extraction import (
+    confidence_of, entities_of, extraction_of, first_per_label, needs_augmentation, relations_of,
+)
 from ..functions.labels import canonical_label, entity_type_or_concept, graph_key, relation_type_or_null
 from ..functions.text import let, strip, text_or_empty
 from ..options import DEFAULTS, Options
@@ -91,12 +93,18 @@ def tagger_entities(tags: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     )
 
 
-def merge_tags(extracted: DataFrame, tags: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
-    """Add a tagger's entities after the rules' own, which win; confidence is computed again."""
-    joined = extracted.join(tagger_entities(tags, opts), "chunk_id", "left")
-    both = F.concat("entities", F.coalesce("tag_entities", F.array().cast(_ENTITIES)))
-    merged = joined.withColumn("entities", first_per_label(both)).drop("tag_entities")
-    return _with_confidence(merged, opts)
+def extract_tagged(chunks: DataFrame, tags: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
+    """Extraction with a tagger's entities after the rules' own, which win.
+
+    The relation rules run on the merged labels, so a relation may have ends that only the tagger found; confidence
+    and the gate follow from both.
+    """
+    trimmed = chunks.withColumn("text", strip(text_or_empty("text")))
+    others = trimmed.columns
+    joined = trimmed.join(tagger_entities(tags, opts), "chunk_id", "left")
+    merged = first_per_label(F.concat(entities_of("text", opts), F.coalesce("tag_entities", F.array().cast(_ENTITIES))))
+    both = let(merged, lambda es: F.struct(es.alias("entities"), relations_of("text", es, opts).alias("relationships")))
+    return _with_confidence(joined.select(*others, F.inline(F.array(both))), opts)
 
 
 def merge_responses(extracted: DataFrame, responses: DataFrame, opts: Options = DEFAULTS) -> DataFrame:

@@ -117,6 +117,11 @@ def relation_histogram(relations: DataFrame) -> DataFrame:
     return allowed_relations(relations).groupBy("rel_type").agg(F.count(F.lit(1)).alias("n"))
 
 
+def document_relation_histogram(relations: DataFrame) -> DataFrame:
+    """Relations of each type in each document."""
+    return allowed_relations(relations).groupBy("document_id", "rel_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def entity_degree(g: GraphTables) -> DataFrame:
     """Edges of each entity, mentions included, in both directions; a relation to itself counts once."""
     ends = g.relationships.select(

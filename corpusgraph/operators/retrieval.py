@@ -15,7 +15,6 @@ from .skew import salted_join
 from .vectors import corpus_topk, scoped_topk
 
 # The words that make a question a keyword question, and those that join topics.
-METRIC_WORDS = ["revenue", "cost", "profit", "earnings", "margin", "sales", "income", "expense"]
 METRIC_QUESTION = r"\b(revenue|cost|profit|earnings|margin|sales|income|expense)\b"
 YEAR_QUESTION = r"\b(19\d{2}|20\d{2})\b"
 JOINING_WORDS = r"\b(and|together|both|combined|also|additionally)\b"
@@ -70,28 +69,30 @@ def holds_all(text: Column, keywords: Column) -> Column:
     return (F.size(usable) > 0) & F.forall(usable, lambda w: F.contains(low, w))
 
 
-def question_terms_in(text: Column) -> Column:
-    """Every possible question term that a text holds as a substring; years may overlap."""
-    low = F.lower(text_or_empty(text))
-    years = F.regexp_extract_all(low, F.lit(r"(?=((?:19|20)\d{2}))"), F.lit(1))
-    words = F.filter(F.array(*[F.lit(w) for w in METRIC_WORDS]), lambda w: F.contains(low, w))
-    return F.array_distinct(F.concat(years, words))
-
-
 def keyword_hits(queries: DataFrame, vectors: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
-    """First k chunks of each question's document that hold all its terms, in document order.
+    """First k chunks of each question's document that hold all its keywords as substrings, in document order.
 
-    Questions with the same document and terms are searched once. They meet the chunks on one of their
-    terms (an inverted index over the few possible terms), not on the document alone.
+    Any keywords will do; those of fewer than two characters do not count. Each chunk is searched for the keywords
+    asked of its document, which gives an inverted list for every asked keyword; questions with the same document and
+    keywords are searched once, on their keyword with the shortest list.
     """
-    asked = queries.filter("document_id is not null and size(terms) > 0").withColumn("terms", F.array_sort("terms"))
-    wanted = asked.select("document_id", "terms").distinct().withColumn("term", F.get("terms", F.lit(0)))
-    held = vectors.select(
-        "document_id", "chunk_id", "chunk_seq", question_terms_in(F.col("text")).alias("held")
-    ).withColumn("term", F.explode("held"))
-    found = wanted.join(held, ["document_id", "term"]).filter(F.size(F.array_except("terms", "held")) == 0)
+    usable = F.array_sort(F.array_distinct(F.filter(F.transform("terms", lambda w: F.lower(strip(w))), lambda w: F.length(w) >= 2)))
+    asked = queries.filter("document_id is not null").withColumn("terms", usable).filter("size(terms) > 0")
+    wanted = asked.groupBy("document_id", "terms").agg(F.max("k").alias("most"))
+    words = wanted.select("document_id", F.explode("terms").alias("term")).groupBy("document_id").agg(
+        F.collect_set("term").alias("words"))
+    low = F.lower(text_or_empty("text"))
+    held = salted_join(vectors.select("document_id", "chunk_id", "chunk_seq", low.alias("low")), words, ["document_id"], ["chunk_id"]).select(
+        "document_id", "chunk_id", "chunk_seq", F.filter("words", lambda w: F.contains(F.col("low"), w)).alias("held"))
+    lists = held.filter("size(held) > 0").withColumn("term", F.explode("held"))
+    sizes = lists.groupBy("document_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        wanted.withColumn("term", F.explode("terms")).join(sizes, ["document_id", "term"])
+        .groupBy("document_id", "terms", "most").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
+    )
+    found = rarest.join(lists, ["document_id", "term"]).filter(F.size(F.array_except("terms", "held")) == 0)
     order = W.partitionBy("document_id", "terms").orderBy("chunk_seq", "chunk_id")
-    first = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= opts.retrieval_k_cap)
+    first = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= F.col("most"))
     return (
         asked.select("query_id", "document_id", "terms", "k")
         .join(first.select("document_id", "terms", "chunk_id", "rank"), ["document_id", "terms"])
@@ -144,17 +145,20 @@ def expansion_nodes(entities: DataFrame) -> DataFrame:
 def induced_edges(nodes: DataFrame, g: GraphTables, opts: Options = DEFAULTS) -> DataFrame:
     """Relations with both ends among a question's nodes; without a scope the first 100 only.
 
-    Each relation is looked up at its end with fewer relations, so an entity that is linked to a great
+    Relations are cut down to the asked nodes at both ends before anything is counted. Each relation is looked up at its end with fewer relations, so an entity that is linked to a great
     part of a document does not multiply every question that meets it.
     """
-    degree = g.relationships.select(F.explode(F.array("from_key", "to_key")).alias("graph_key")).groupBy(
+    keys = nodes.select("graph_key").distinct()
+    plain = g.relationships.select("from_key", "to_key", "rel_type").join(
+        keys.withColumnRenamed("graph_key", "from_key"), "from_key", "left_semi").join(
+        keys.withColumnRenamed("graph_key", "to_key"), "to_key", "left_semi")
+    degree = plain.select(F.explode(F.array("from_key", "to_key")).alias("graph_key")).groupBy(
         "graph_key"
     ).agg(F.count(F.lit(1)).alias("degree"))
     def with_degree(rows: DataFrame, key: str, name: str, other: str) -> DataFrame:
         named = degree.withColumnRenamed("graph_key", key)
         return salted_join(rows, named.withColumn(name, F.col("degree")), [key], [other, "rel_type"], rows="degree")
 
-    plain = g.relationships.select("from_key", "to_key", "rel_type")
     edges = (
         with_degree(with_degree(plain, "from_key", "d_from", "to_key"), "to_key", "d_to", "from_key")
         .withColumn("near", F.when(F.col("d_from") <= F.col("d_to"), F.col("from_key")).otherwise(F.col("to_key")))

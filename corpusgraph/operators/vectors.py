@@ -25,6 +25,7 @@ from .skew import salted_join
 SHARD_ROWS = 16384
 GROUP_ROWS = 8192
 BLOCK_QUERIES = 2048
+BLOCK_KEYWORDS = 1_000
 BROADCAST_QUERIES = 2048
 _SLICE = 256
 
@@ -142,7 +143,10 @@ def scoped_topk(queries: DataFrame, vectors: DataFrame, cosine: bool = True) ->
     left = blocked.join(shards, "document_id").select("document_id", "shard", "block", "query_id", "k", "embedding")
     blocks = blocked.select("document_id", "block").distinct()
     right = sharded.join(blocks, "document_id").select("document_id", "shard", "block", "chunk_id", "embedding")
-    return _search_groups(left, right, ["document_id", "shard", "block"], vectors.count(), cosine)
+    # Vectors as often as they are repeated for blocks of questions.
+    repeats = vectors.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).join(
+        blocked.select("document_id", "blocks").distinct(), "document_id").agg(F.sum(F.col("n") * F.col("blocks"))).first()[0]
+    return _search_groups(left, right, ["document_id", "shard", "block"], int(repeats or 0), cosine)
 
 
 def _search_groups(left: DataFrame, right: DataFrame, keys: list[str], n_vectors: int, cosine: bool) -> DataFrame:
@@ -215,7 +219,24 @@ def _search_in_place(wanted: DataFrame, points: DataFrame, cosine: bool) -> Data
 
 
 def filtered_topk(queries: DataFrame, vectors: DataFrame, cosine: bool = True) -> DataFrame:
-    """First k of the best 2k vectors whose text holds the question's ``keyword`` (any case)."""
+    """Best k vectors whose text holds the question's ``keyword`` (any case): filter first, so the result is exact.
+
+    The asked keywords meet every text in blocks of ``BLOCK_KEYWORDS``; the texts that hold a keyword are the scope in
+    which its questions are searched.
+    """
+    asked = queries.select("query_id", F.lower("keyword").alias("document_id"), "k", "embedding").filter("document_id is not null")
+    words = asked.select(F.col("document_id").alias("word")).distinct()
+    blocks = max(1, -(-words.count() // BLOCK_KEYWORDS))
+    lists = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("list")).agg(F.collect_list("word").alias("words"))
+    texts = vectors.select("chunk_id", "embedding", F.lower("text").alias("low"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    held = texts.join(lists, F.col("block") == F.col("list")).select(
+        "chunk_id", "embedding", F.explode(F.filter("words", lambda w: F.contains(F.col("low"), w))).alias("document_id"))
+    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, vectors.count())))
+    return scoped_topk(asked, held.withColumn("chunk_seq", spread), cosine)
+
+
+def overscan_topk(queries: DataFrame, vectors: DataFrame, cosine: bool = True) -> DataFrame:
+    """Filtered search as an index without a text filter does it: the best 2k, then the keyword; may find fewer than k."""
     wide = corpus_topk(queries.withColumn("k", F.col("k") * 2), vectors, cosine)
     texts = vectors.select("chunk_id", F.lower("text").alias("low"))
     kept = wide.join(queries.select("query_id", F.col("k").alias("k"), F.lower("keyword").alias("keyword")), "query_id").join(

@@ -11,12 +11,13 @@ from ..functions import extraction, text
 from ..functions.labels import canonical_label, relation_type_or_null
 from ..operators import chunking, context, dedup, entities, graph, ordering, retrieval, selection, vectors
 from ..options import Options
-from ..session import cut_lineage
+from ..session import cut_lineage, run_table
 from ..sources import units as sources
 from ..sources.tables import GraphStore
 from ..streaming import feed as feeds
 from ..streaming.runs import parquet_stream, run_available, run_folder
 from . import corpora as c
+from . import pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -96,8 +97,7 @@ def chart_fallback(spark: SparkSession, sf: str) -> DataFrame:
     pages = c.table(spark, sf, "conversations").select(
         F.col("conv_id").cast("string").alias("document_id"), F.col("turn").cast("int").alias("page"), "text"
     )
-    seen = _image_text(spark, sf).withColumn("recognised", F.substring("recognised", 1, 30))
-    return sources.chart_units(pages, seen).select("document_id", "page", "source", "text")
+    return sources.chart_units(pages, _image_text(spark, sf)).select("document_id", "page", "source", "text")
 
 
 @query
@@ -358,7 +358,7 @@ def tag_merge(spark: SparkSession, sf: str) -> DataFrame:
             )
         ),
     )
-    merged = entities.merge_tags(c.fact_extraction(spark, sf), tags)
+    merged = entities.extract_tagged(c.fact_chunks(spark, sf), tags)
     return merged.select("chunk_id", F.round("confidence", 6).alias("confidence"), F.posexplode("entities").alias("position", "e")).select(
         "chunk_id", "confidence", "position", "e.label", "e.type"
     )
@@ -497,6 +497,11 @@ def relation_histogram(spark: SparkSession, sf: str) -> DataFrame:
     return graph.relation_histogram(c.fact_graph(spark, sf).relationships)
 
 
+@query
+def document_relation_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.document_relation_histogram(c.fact_graph(spark, sf).relationships)
+
+
 @query
 def graph_totals(spark: SparkSession, sf: str) -> DataFrame:
     return graph.graph_totals(c.fact_graph(spark, sf))
@@ -587,8 +592,7 @@ def post_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.post_filtered_topk(asked, points, cosine=False)
 
 
-@query
-def filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
+def _filtered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Benchmark items as questions over documents; the first word must occur in the text."""
     from ..functions.similarity import HashedCounts
 
@@ -600,7 +604,41 @@ def filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
     docs = c.doc_blocks(spark, sf).select(
         "document_id", F.col("document_id").alias("chunk_id"), F.lit(0).cast("bigint").alias("chunk_seq"), "text", "source", "page"
     )
-    return vectors.filtered_topk(embedder.encode(asked), vectors.vector_rows(docs, embedder))
+    return embedder.encode(asked), vectors.vector_rows(docs, embedder)
+
+
+@query
+def filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.filtered_topk(*_filtered(spark, sf))
+
+
+@query
+def overscan_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return vectors.overscan_topk(*_filtered(spark, sf))
+
+
+@query
+def answers_from_documents(spark: SparkSession, sf: str) -> DataFrame:
+    """From documents to answers: dedup, chunks, graph, vectors, then the benchmark items as questions."""
+    chunks = run_table(pipeline.chunk_documents(c.doc_units(spark, sf)), "chunks")
+    g = graph.build_graph(run_table(entities.extract_once(chunks), "extracted"))
+    stored = graph.GraphTables(*(run_table(getattr(g, t), t) for t in ("chunks", "entities", "mentions", "relationships")))
+    asked = c.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.lit(None).cast("string").alias("document_id"))
+    return pipeline.answer_questions(asked, run_table(vectors.vector_rows(chunks), "vectors"), stored)
+
+
+@query
+def keyword_any(spark: SparkSession, sf: str) -> DataFrame:
+    """The first two words of each benchmark item as keywords, in the documents of one language each."""
+    words = text.word_tokens("text")
+    asked = c.table(spark, sf, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.slice(words, 1, 2).alias("terms"), F.lit(20).alias("k"),
+        F.element_at(F.array(*[F.lit(x) for x in ("en", "de", "fr", "es")]), (F.col("item_id") % 4 + 1).cast("int")).alias("document_id"),
+    )
+    docs = c.table(spark, sf, "documents").select(
+        F.col("lang").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_seq"), "text")
+    return retrieval.keyword_hits(asked, docs).select("query_id", "chunk_id", "rank")
 
 
 @query

@@ -374,7 +374,7 @@ SELECT * FROM t WHERE text <> ''"""
     sql["image_text_units"] = """SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn AS INTEGER) AS page, 'page_' || turn || '_img_0' AS source, 'image' AS type, text
 FROM conversations WHERE role = 'assistant' AND regexp_matches(text, '\\S')""".replace("\\\\", "\\")
     sql["chart_fallback"] = f"""WITH p AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, CAST(turn AS INTEGER) AS page, text,
-  {strip("CASE WHEN role = 'assistant' THEN substr(text, 1, 30) ELSE '' END")} AS own FROM conversations),
+  {strip("CASE WHEN role = 'assistant' THEN text ELSE '' END")} AS own FROM conversations),
 c AS (SELECT *, CASE WHEN length(own) > 0 THEN own WHEN length({strip('text')}) > 20 THEN {strip(f"substr({strip('text')}, 1, 2000)")} END AS t FROM p)
 SELECT document_id, page, 'page_' || page || '_chart' AS source, t AS text FROM c WHERE t IS NOT NULL AND regexp_matches(t, '\\S')""".replace("\\\\S", "\\S")
     sql["gather_units"] = f"""WITH {LINES}, talk AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn, role, text FROM conversations)
@@ -556,6 +556,7 @@ SELECT document_id, id, substr(split_part(id, '::', 2), 1, 60), 2, 'concept', -1
     sql["first_entity_names"] = g("""SELECT document_id, CAST(row_number() OVER w AS INTEGER) AS rank, id, name FROM snap_nodes WHERE "group" = 2
 WINDOW w AS (PARTITION BY document_id ORDER BY id) QUALIFY row_number() OVER w <= 40""")
     sql["relation_histogram"] = g("SELECT rel_type, count(*) AS n FROM edges GROUP BY rel_type")
+    sql["document_relation_histogram"] = g("SELECT document_id, rel_type, count(*) AS n FROM edges GROUP BY ALL")
     sql["graph_totals"] = g("SELECT (SELECT count(*) FROM facts) AS chunks, (SELECT count(*) FROM nodes) AS entities, (SELECT count(*) FROM edges) AS relationships")
     counts = """SELECT f.document_id, f.n AS chunks, coalesce(n.n, 0) AS entities, coalesce(e.n, 0) AS relationships
 FROM (SELECT document_id, count(*) AS n FROM facts GROUP BY 1) f LEFT JOIN (SELECT document_id, count(*) AS n FROM nodes GROUP BY 1) n USING (document_id)
@@ -580,10 +581,20 @@ WHERE q.label = v.label WINDOW w AS (PARTITION BY query_id ORDER BY score DESC,
     sql["filtered_topk"] = f"""WITH qt AS (SELECT item_id AS query_id, text, {tokens('text')}[1] AS keyword FROM benchmark), dt AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text FROM documents),
 {_hashed('qt', 'query_id', 'text', 'qv')}, {_hashed('dt', 'chunk_id', 'text', 'dv')},
 dots AS (SELECT q.query_id, d.chunk_id, CAST(sum(q.c * d.c) AS DOUBLE) AS dot FROM qv_b q JOIN dv_b d ON q.b = d.b GROUP BY ALL),
+s AS (SELECT query_id, chunk_id, floor(dot / sqrt(qv.norm * dv.norm) * 1e6 + 0.5) / 1e6 AS score FROM dots JOIN qv USING (query_id) JOIN dv USING (chunk_id))
+SELECT query_id, chunk_id, score, CAST(row_number() OVER o AS INTEGER) AS rank FROM s JOIN qt USING (query_id) JOIN dt USING (chunk_id)
+WHERE contains(lower(substr(dt.text, 1, 2000)), keyword) WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, chunk_id) QUALIFY row_number() OVER o <= 8"""
+    sql["overscan_topk"] = f"""WITH qt AS (SELECT item_id AS query_id, text, {tokens('text')}[1] AS keyword FROM benchmark), dt AS (SELECT CAST(doc_id AS VARCHAR) AS chunk_id, text FROM documents),
+{_hashed('qt', 'query_id', 'text', 'qv')}, {_hashed('dt', 'chunk_id', 'text', 'dv')},
+dots AS (SELECT q.query_id, d.chunk_id, CAST(sum(q.c * d.c) AS DOUBLE) AS dot FROM qv_b q JOIN dv_b d ON q.b = d.b GROUP BY ALL),
 s AS (SELECT query_id, chunk_id, floor(dot / sqrt(qv.norm * dv.norm) * 1e6 + 0.5) / 1e6 AS score FROM dots JOIN qv USING (query_id) JOIN dv USING (chunk_id)),
 w AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 16)
 SELECT query_id, chunk_id, score, CAST(row_number() OVER o AS INTEGER) AS rank FROM w JOIN qt USING (query_id) JOIN dt USING (chunk_id)
 WHERE contains(lower(substr(dt.text, 1, 2000)), keyword) WINDOW o AS (PARTITION BY query_id ORDER BY score DESC, chunk_id) QUALIFY row_number() OVER o <= 8"""
+    sql["keyword_any"] = f"""WITH q AS (SELECT item_id AS query_id, {tokens('text')}[1:2] AS terms, ['en', 'de', 'fr', 'es'][item_id % 4 + 1] AS lang FROM benchmark)
+SELECT query_id, doc_id AS chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS INTEGER) AS rank
+FROM q JOIN documents d ON d.lang = q.lang AND len(list_filter(terms, lambda w: length(w) >= 2 AND NOT contains(lower(d.text), w))) = 0
+WHERE len(list_filter(terms, lambda w: length(w) >= 2)) > 0 QUALIFY rank <= 20"""
     sql["keyword_and"] = r("SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM kw")
     sql["hybrid_hits"] = r("SELECT query_id, chunk_id, score, rank FROM hits")
     sql["hit_chunk_ids"] = r("SELECT query_id, rank, chunk_id FROM hits")

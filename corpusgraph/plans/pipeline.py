@@ -11,7 +11,7 @@ from ..functions.similarity import AdjacentSimilarity, Embedder
 from ..operators import chunking, context, dedup, entities, graph, retrieval, vectors
 from ..operators.graph import GraphTables
 from ..options import DEFAULTS, Options
-from ..session import cut_lineage
+from ..session import run_table
 from ..sources.tables import GraphStore
 
 
@@ -29,9 +29,9 @@ def ingest_documents(
     Chunks are materialised once, so that the graph and the vectors are made from the same rows.
     """
     documents = units.select("document_id").distinct()
-    chunks = cut_lineage(chunk_documents(units, opts, similarity))
+    chunks = run_table(chunk_documents(units, opts, similarity), "chunks")
     store.upsert("chunks", chunks, documents)
-    extracted = cut_lineage(entities.extract_once(chunks, opts))
+    extracted = run_table(entities.extract_once(chunks, opts), "extracted")
     g = graph.build_graph(extracted, opts)
     for table in ("entities", "mentions", "relationships"):
         store.upsert(table, getattr(g, table), documents)
@@ -61,16 +61,17 @@ def retrieve(
 ) -> Retrieved:
     """``queries``: query_id, query, document_id (null searches everything).
 
-    Hits are materialised: everything after them reads them, and they are at most k for a question.
+    Hits, their entities, edges and context are written: all that follows reads them, and their sizes are bounded by
+    the hits.
     """
     questions = retrieval.prepare_questions(queries, opts)
-    hits = cut_lineage(retrieval.hybrid_hits(questions, vector_table, embedder, opts))
-    found = retrieval.hit_entities(questions, hits, g)
+    hits = run_table(retrieval.hybrid_hits(questions, vector_table, embedder, opts), "hits")
+    found = run_table(retrieval.hit_entities(questions, hits, g), "hit-entities")
     nodes = retrieval.expansion_nodes(found)
-    edges = retrieval.induced_edges(nodes, g, opts)
+    edges = run_table(retrieval.induced_edges(nodes, g, opts), "hit-edges")
     return Retrieved(
         questions, hits, found, nodes, edges, retrieval.chunk_edges(found, edges),
-        retrieval.context_chunks(hits, vector_table, g, opts),
+        run_table(retrieval.context_chunks(hits, vector_table, g, opts), "hit-context"),
     )
 
 
@@ -78,7 +79,8 @@ def answer_questions(
     queries: DataFrame, vector_table: DataFrame, g: GraphTables,
     opts: Options = DEFAULTS, embedder: Embedder | None = None,
 ) -> DataFrame:
-    """One row for each question: prompt, fallback answer, steps, citations and confidence."""
+    """One row for each question: prompt, fallback answer, steps, citations, confidence, and the nodes, edges and
+    chunks that were used."""
     r = retrieve(queries, vector_table, g, opts, embedder)
     passages = context.passages(r.context, opts)
     facts = context.triples(r.edges, r.nodes)
@@ -91,8 +93,15 @@ def answer_questions(
         ).alias("citations")
     )
     scored = context.confidence(r.questions, r.hits, r.nodes, r.edges, cited)
+    used = [
+        r.nodes.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("graph_key", "name"))).alias("nodes")),
+        r.edges.groupBy("query_id").agg(F.sort_array(F.collect_set(F.struct("source", "target", "type"))).alias("edges")),
+        r.context.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("position", "chunk_id", "source", "page"))).alias("chunks")),
+    ]
+    answers = context.answer_context(r.questions, facts, passages)
+    for part in used:
+        answers = answers.join(part, "query_id", "left")
     return (
-        context.answer_context(r.questions, facts, passages)
-        .join(listed, "query_id", "left").join(scored, "query_id", "left")
+        answers.join(listed, "query_id", "left").join(scored, "query_id", "left")
         .withColumn("confidence", F.round("confidence", 2))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusgraph.functions.similarity import HashedCounts
-from corpusgraph.operators import graph, retrieval, vectors
+from corpusgraph.operators import entities, graph, retrieval, vectors
 from corpusgraph.options import Options
 from corpusgraph.plans import corpora, pipeline
 from corpusgraph.sources.tables import GraphStore
@@ -108,3 +108,36 @@ def test_scans_read_only_what_they_need(spark):
 def test_hashed_vectors_are_counts(spark):
     row = spark.createDataFrame([("a b a",)], "text string").select(HashedCounts(16).vector("text").alias("v")).first()
     assert sum(row.v) == 3 and max(row.v) == 2
+
+
+def test_any_keywords_and_more_than_the_usual_number_of_hits(spark):
+    rows = [("d", f"c{i:02d}", i, f"Some Widgets and gadgets number {i}") for i in range(30)] + [("d", "x", 99, "gadgets alone")]
+    vectors = spark.createDataFrame(rows, "document_id string, chunk_id string, chunk_seq bigint, text string")
+    asked = spark.createDataFrame(
+        [(1, "d", ["widgets", " GADGETS "], 20), (2, "d", ["widgets", "absent"], 20), (3, "d", ["a", ""], 20), (4, "d", ["gadgets", "widgets"], 3)],
+        "query_id bigint, document_id string, terms array<string>, k int")
+    got = {}
+    for r in retrieval.keyword_hits(asked, vectors).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == {1: [f"c{i:02d}" for i in range(20)], 4: ["c00", "c01", "c02"]}
+
+
+def test_rules_run_on_tagged_labels(spark):
+    chunks = spark.createDataFrame(
+        [("d", "c1", 1, "Traffic rose from north gate to south gate."), ("d", "c2", 2, "nothing")],
+        "document_id string, chunk_id string, chunk_seq bigint, text string")
+    tags = spark.createDataFrame(
+        [("c1", 1, "north gate", "FAC"), ("c1", 2, "south gate", "FAC")], "chunk_id string, tag_seq int, text string, tag string")
+    found = {r.chunk_id: r for r in entities.extract_tagged(chunks, tags).collect()}
+    assert [(r["from"], r["to"], r["type"]) for r in found["c1"].relationships] == [("north gate", "south gate", "INCREASED_FROM")]
+    plain = {r.chunk_id: r for r in entities.extract_chunks(chunks).collect()}
+    assert plain["c1"].relationships == [] and plain["c1"].confidence < found["c1"].confidence
+
+
+def test_relations_are_cut_down_before_they_are_counted(spark):
+    nodes = spark.createDataFrame([(1, "d", "a", "a", None), (1, "d", "b", "b", None)], "query_id bigint, document_id string, graph_key string, name string, scope string")
+    relations = spark.createDataFrame([("d", "a", "b", "X"), ("d", "a", "z", "X")], "document_id string, from_key string, to_key string, rel_type string")
+    edges = retrieval.induced_edges(nodes, graph.GraphTables(None, None, None, relations))
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan[plan.index("Aggregate [graph_key"):].count("LeftSemi") >= 2
+    assert [(r.source, r.target) for r in edges.collect()] == [("a", "b")]
