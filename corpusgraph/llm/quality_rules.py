@@ -177,7 +177,8 @@ def _shrinkage(d: int) -> float:
 def estimates(rows: DataFrame, scratch: Scratch, steps: int = STEPS) -> DataFrame:
     """``group, centre, inverse`` after ``steps`` concentration steps over ``rows`` (group and features)."""
     d = len(FEATURES)
-    middle = rows.groupBy("group").agg(*[F.percentile_approx(n, 0.5, 1000).alias(f"m_{n}") for n in FEATURES])
+    # One row for each group, written, so that its size is known and the rows of a large group need no shuffle to meet it.
+    middle = scratch.table(rows.groupBy("group").agg(*[F.percentile_approx(n, 0.5, 1000).alias(f"m_{n}") for n in FEATURES]))
     spread = rows.join(middle, "group").groupBy("group").agg(*[F.percentile_approx(F.abs(F.col(n) - F.col(f"m_{n}")), 0.5, 1000).alias(f"d_{n}") for n in FEATURES])
     start = middle.join(spread, "group").select(
         "group", F.array(*[F.col(f"m_{n}") for n in FEATURES]).alias("centre"),
@@ -186,7 +187,7 @@ def estimates(rows: DataFrame, scratch: Scratch, steps: int = STEPS) -> DataFram
     now = scratch.table(start)
     for _ in range(steps):
         near = rows.join(now, "group").withColumn("d2", _distance()).drop("centre", "inverse")
-        cut = near.groupBy("group").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("cut"))
+        cut = scratch.table(near.groupBy("group").agg(F.percentile_approx("d2", SUPPORT, 1000).alias("cut")))
         sums = near.join(cut, "group").filter("d2 <= cut").groupBy("group").agg(
             F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(f"s{i}") for i, n in enumerate(FEATURES)],
             *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"p{i}_{j}") for i, j in _PAIRS])
