@@ -1,11 +1,11 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicate dedup, benchmark decontamination, packing.
 
 Every stage takes ``(spark, docs, sf_dir)`` and returns a frame that is written as Parquet and read again as the next
-stage's ``docs``. All but the last return the columns of ``docs``. Rows are matched by id and text hash, so rows
-that share an id are treated one by one, and other columns pass unchanged whatever their names.
+stage's ``docs``. All but the last return the columns of ``docs``. Rows are matched by id and text hash (near
+duplicates by id alone), and other columns pass unchanged whatever their names.
 
-Defined results: a null text fails the base rules and goes. A null id is kept by every stage. An empty input gives an
-empty output.
+Defined results: a null text fails the base rules and goes. A null id alone is no reason to go, and such rows are near
+duplicates of nothing. An empty input gives an empty output.
 """
 
 from __future__ import annotations
@@ -30,12 +30,6 @@ def _packed_rows(docs: DataFrame) -> DataFrame:
         F.struct(*[docs[c] for c in docs.columns]).alias("__whole"), id_or_last().alias("__id"), row_key().alias("__row"))
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of the documents in ``ids`` (``doc_id``)."""
-    gone = ids.select(id_or_last().alias("__id")).distinct()
-    return _packed_rows(docs).join(gone, "__id", "left_anti").select("__whole.*")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
     judged = judge_quality(docs, keep_key=True)
@@ -55,13 +49,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id."""
-    found = near_duplicates(docs, SHINGLE, SIMILARITY)
-    return _without(docs, found.filter("not kept"))
+    gone = near_duplicates(docs, SHINGLE, SIMILARITY).filter("not kept").select(id_or_last().alias("__id")).distinct()
+    return _packed_rows(docs).join(gone, "__id", "left_anti").select("__whole.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")))
+    hits = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep_key=True)
+    gone = hits.select(id_or_last().alias("__id"), F.col("row").alias("__row")).distinct()
+    return _packed_rows(docs).join(gone, ["__id", "__row"], "left_anti").select("__whole.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from .common import Scratch, row_key
 WINDOW = 8
 MIN_COVERED = 13
 MIN_SHARE = 0.8
-MAX_BROADCAST = 1_000_000
+MAX_BROADCAST = 200_000
 UNITS = ("km m cm mm kg g mg lb lbs oz l ml mph kmh miles mile meters metres meter metre feet foot ft inches inch dollars "
          "dollar euros euro cents pounds percent hours hour minutes minute seconds second days day weeks week months month "
          "years year degrees tons tonnes litres liters gallons").split()
@@ -85,8 +85,11 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return own.filter(2 * placeholders <= F.col("size"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``doc_id, item_id, n_covered, n_item, reworded``: a row for each document and item that meet in it."""
+def contaminated(docs: DataFrame, benchmark: DataFrame, keep_key: bool = False) -> DataFrame:
+    """``doc_id, item_id, n_covered, n_item, reworded``: a row for each document and item that meet in it.
+
+    ``keep_key``: a row for each row of ``docs`` instead, with ``row``, which tells rows of one id apart.
+    """
     scratch = Scratch(docs.sparkSession, "benchmark")
     known = scratch.table(benchmark_windows(benchmark))
     size = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()
@@ -115,6 +118,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     judged = lines.withColumns({
         "consistent": consistent, "n_covered": covered, "changed": F.exists("slots", lambda s: s["b"] != s["d"])})
     enough = F.col("n_covered") >= F.least(F.lit(float(MIN_COVERED)), MIN_SHARE * F.col("n_item"))
-    return judged.filter(F.col("consistent") & enough).groupBy("doc_id", "item_id").agg(
+    return judged.filter(F.col("consistent") & enough).groupBy("doc_id", *(["row"] if keep_key else []), "item_id").agg(
         F.max("n_covered").cast("bigint").alias("n_covered"), F.max("n_item").cast("bigint").alias("n_item"),
         F.min("changed").alias("reworded"))

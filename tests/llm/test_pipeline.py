@@ -35,6 +35,10 @@ def test_stages_against_brute_force(spark):
     hit = {r["doc_id"] for r in decontaminate.contaminated(docs, spark.read.parquet(f"{SMALL}/benchmark.parquet")).collect()}
     assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {d for d, _ in rows} - hit
 
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first()["text"]
+    some = _docs(spark, [(None, "clean words of no item"), (None, item), (5, item), (5, "clean row of the same id")])
+    assert {r["text"] for r in corpus_pipeline.decontamination(spark, some, SMALL).collect()} == {"clean words of no item", "clean row of the same id"}
+
     packed = corpus_pipeline.packing(spark, docs, SMALL)
     assert packed.count() >= len(rows)
 
