@@ -205,12 +205,12 @@ def _links(pairs: list[tuple[int, int]]) -> pa.Table:
 def _confirm(similarity: int):
     """Links among candidate pairs; a pair that earlier links of the block already connect needs no look."""
     def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        found, forest, of = [], _Forest(), _sets_of(sets)
+        forest, of = _Forest(), _sets_of(sets)
         for a, b in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
             if forest.root(a) != forest.root(b) and any(similar(x, y, similarity) for x in of.get(a, ()) for y in of.get(b, ())):
                 forest.join(a, b)
-                found.append((a, b))
-        return _links(found)
+        # Each member beside the least of its tree: stars take fewer rounds to connect than paths.
+        return _links([(forest.root(x), x) for x in list(forest.up) if forest.root(x) != x])
     return run
 
 
@@ -290,7 +290,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         lists.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_list_pairs, "a bigint, b bigint, hot boolean")
         .groupBy("a", "b").agg(F.max("hot").alias("hot")))
     pairs = found.filter("a <> b").select("a", "b")
-    grouped = scratch.table(_grouped(pairs, scratch))
+    grouped = _grouped(pairs, scratch)
     needs = grouped.select(F.col("a").alias("id"), "group").unionByName(grouped.select(F.col("b").alias("id"), "group"))
     links = scratch.table(
         grouped.groupBy("group").cogroup(_shipped(rows, needs, shingle).groupBy("group")).applyInArrow(
@@ -299,14 +299,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
     # Rows that share an id connect their classes.
     of = known.join(classes.drop("keys"), ["d1", "d2", "n"])
     shared = of.groupBy("id").agg(F.min("rep").alias("u"), F.max("rep").alias("v"), F.collect_set("rep").alias("reps")).filter("u <> v")
-    links = links.unionByName(scratch.table(shared.select("u", F.explode("reps").alias("v")).filter("u <> v")))
-    components = scratch.table(connected_components(links, "u", "v"))
+    links = links.unionByName(shared.select("u", F.explode("reps").alias("v")).filter("u <> v"))
+    components = connected_components(links, "u", "v")
 
     hot = found.filter("hot")
     if not hot.isEmpty():
         late = scratch.table(_straggler_links(rows, hot, components, shingle, similarity, scratch))
         if not late.isEmpty():
-            components = _merged(components, late, scratch)
+            components = _merged(components, late)
 
     class_component = classes.drop("keys").join(components, F.col("rep") == F.col("node"), "left").select(
         "d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
@@ -318,16 +318,16 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: int = S
         F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def _merged(components: DataFrame, late: DataFrame, scratch: Scratch) -> DataFrame:
+def _merged(components: DataFrame, late: DataFrame) -> DataFrame:
     """``components`` after further links: the links run between components, of which few are left."""
     named = components.select(F.col("node").alias("u"), F.col("component").alias("cu"))
     ends = late.join(named, "u", "left").join(named.toDF("v", "cv"), "v", "left").select(
         F.coalesce("cu", "u").alias("u"), F.coalesce("cv", "v").alias("v"))
-    moved = scratch.table(connected_components(ends, "u", "v")).toDF("component", "to")
+    moved = connected_components(ends, "u", "v").toDF("component", "to")
     # Classes that had no link before are nodes of their own here.
     nodes = components.unionByName(moved.join(components.select("component").distinct(), "component", "left_anti").select(
         F.col("component").alias("node"), "component"))
-    return scratch.table(nodes.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component")))
+    return nodes.join(moved, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
 
 
 def _straggler_links(rows: DataFrame, hot: DataFrame, components: DataFrame, shingle: int, similarity: int,
