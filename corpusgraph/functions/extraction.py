@@ -15,10 +15,7 @@ from .text import ColumnOrName, as_col, is_blank, let, sentences
 # The patterns of entity mentions.
 YEAR = r"\b(20\d{2}|19\d{2})\b"
 AMOUNT = r"\b(\d+(?:\.\d+)?)\s*(?:%|percent|million|billion|M|B|USD|usd|bn|mn)\b"
-ML_TERM = (
-    r"\b(LSTM|CNN|RNN|GRU|Transformer|BERT|GPT|GAN|VAE|attention"
-    r"|neural network|deep learning|machine learning)\b"
-)
+ML_TERM = r"\b(LSTM|CNN|RNN|GRU|Transformer|BERT|GPT|GAN|VAE|attention|neural network|deep learning|machine learning)\b"
 FINANCE_TERM = r"\b(revenue|cost|profit|earnings|margin|ebitda|sales|growth|forecast|budget)\b"
 PHRASE = r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,2})\b"
 SENTENCE_NUMBER = r"\b\d+(?:\.\d+)?%?\b"

@@ -57,6 +57,7 @@ def sentences(c: ColumnOrName) -> Column:
 
 
 def is_section_header(c: ColumnOrName) -> Column:
+    # The patterns and lengths of headers.
     t = strip(c)
     upper_case = (t == F.upper(t)) & (t != F.lower(t))
     return (F.length(t) <= 120) & (
@@ -69,6 +70,7 @@ def is_section_header(c: ColumnOrName) -> Column:
 
 def normal_form(c: ColumnOrName) -> Column:
     """Lower case, punctuation to blanks, single blanks, ``5 million`` -> ``5m``, ``5 bn`` -> ``5b``."""
+    # The patterns of the normal form.
     s = F.lower(strip(text_or_empty(c)))
     s = F.regexp_replace(s, r"(?U)[^\w\s\d\.\-]", " ")
     s = F.regexp_replace(s, r"(?U)\s+", " ")
@@ -91,10 +93,7 @@ def word_tokens(c: ColumnOrName) -> Column:
 
 
 # Fixed value: the terms whose variety marks a chunk as mixing topics.
-SALIENT_TERMS = (
-    r"\b(20\d{2}|19\d{2}|LSTM|CNN|RNN|GRU|Transformer|BERT|GPT"
-    r"|revenue|cost|profit|earnings|margin|%)\b"
-)
+SALIENT_TERMS = r"\b(20\d{2}|19\d{2}|LSTM|CNN|RNN|GRU|Transformer|BERT|GPT|revenue|cost|profit|earnings|margin|%)\b"
 
 
 def salient_terms(c: ColumnOrName) -> Column:
