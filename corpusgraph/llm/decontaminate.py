@@ -2,7 +2,9 @@
 
 A text becomes tokens: words of letters and digits, in lower case. Numbers, names (capitalised words that do not begin
 a sentence) and units (after a number) are typed placeholders in its template; their values are slots.
-Windows of ``WINDOW`` tokens are hashed by their templates and joined with the benchmark's. Hits of one document and
+Windows of ``WINDOW`` tokens are hashed by two templates, one with names as placeholders and one with names as
+lower-cased words, since letter case and punctuation decide what looks like a name. They meet the benchmark's windows
+by either. Hits of one document and
 item on one diagonal (the same distance between their places) belong together. They count if the slots are
 consistent, that is if the item's slot values map one to one to the document's; so a question with other numbers or
 names is caught, and a text that only looks alike is not. A document is contaminated by an item if ``MIN_COVERED``
@@ -12,6 +14,8 @@ The document side is one scan with no shuffle up to the join. The benchmark's wi
 are counted to be at most ``MAX_BROADCAST``; beyond that both sides are shuffled by window hash. Only hits are
 shuffled after the join.
 
+``n_covered`` and ``reworded`` are of windows with names as placeholders where these are enough alone, else of all.
+
 Defined results: null or empty texts hit nothing. Items with the same text count as the one with the smallest id.
 Items shorter than a window are one window of their own length. Windows with more placeholders than other tokens say
 too little and do not count. Rows that share an id are one document. Other columns are ignored, whatever their names.
@@ -19,6 +23,8 @@ too little and do not count. Rows that share an id are one document. Other colum
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,51 +46,90 @@ NAME_START = r"(?=\p{Lu})(?<=[\p{Ll}\p{N},;]\s)"
 POINT_IN_NUMBER = r"[.,](?<=[0-9].)(?=[0-9])"
 BETWEEN_WORDS = r"[^\p{L}\p{N}\x01\x02]+"
 KINDS = ["", "number", "name", "unit"]
+# Hashes of the templates, the one with names as placeholders first.
+FORMS = ["named", "worded"]
 
 
 def _is_number(token: Column) -> Column:
     return (token >= "0") & (token < ":")
 
 
+def _is_unit(token: Column, i: Column) -> Column:
+    return token.isin(UNITS) & _is_number(F.get("tokens", i - 1))
+
+
 def with_tokens(rows: DataFrame) -> DataFrame:
-    """``tokens`` (lower-cased words, names marked) and their template ``hashes`` in place of ``text``.
+    """``tokens`` (lower-cased words), names ``marked``, and the hashes of either template (``FORMS``) in place of ``text``.
 
     Each step is a column of its own, so that a token's look at the one before does not split the text anew.
     """
     named = F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), NAME_START, NAME)
     marked = F.lower(F.regexp_replace(named, POINT_IN_NUMBER, POINT))
-    rows = rows.withColumn("tokens", F.split(marked, BETWEEN_WORDS)).drop("text")
-    rows = rows.withColumn("tokens", F.filter("tokens", lambda t: t != ""))
+    rows = rows.withColumn("marked", F.split(marked, BETWEEN_WORDS)).drop("text")
+    rows = rows.withColumn("marked", F.filter("marked", lambda t: t != ""))
+    rows = rows.withColumn("tokens", F.transform("marked", lambda t: F.when(t < "0", F.substring(t, 2, 2**31 - 1)).otherwise(t)))
     number, name, unit = (F.xxhash64(F.lit(NAME + k)) for k in KINDS[1:])
-    return rows.withColumn("hashes", F.transform("tokens", lambda t, i: (
-        F.when(t < ":", F.when(t >= "0", number).otherwise(name))
-        .when(t.isin(UNITS) & _is_number(F.get("tokens", i - 1)), unit).otherwise(F.xxhash64(t)))))
+    rows = rows.withColumn("worded", F.transform("tokens", lambda t, i: (
+        F.when(_is_number(t), number).when(_is_unit(t, i), unit).otherwise(F.xxhash64(t)))))
+    return rows.withColumn("named", F.transform("marked", lambda t, i: F.when(t < "0", name).otherwise(F.get("worded", i))))
+
 
+def _windows(form: str, size: int) -> Column:
+    """The hash of the ``size`` templates from ``place`` on."""
+    return F.xxhash64(F.lit(size), *[F.get(F.col(form), F.col("place") + k) for k in range(size)])
 
-def _windows(hashes: str, size: int) -> Column:
-    """The hash of every ``size`` consecutive templates."""
-    starts = F.when(F.size(hashes) >= size, F.sequence(F.lit(0), F.size(hashes) - size)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(F.lit(size), *[F.get(F.col(hashes), i + k) for k in range(size)]))
+
+def windows(rows: DataFrame, size: int) -> DataFrame:
+    """``place, form, window`` of every ``size`` consecutive tokens in place of the hashes; equal forms give one row.
+
+    Hashes are taken from the arrays after the explode, where Spark compiles them.
+    """
+    keep = [c for c in rows.columns if c not in FORMS]
+    places = rows.filter(F.size("tokens") >= size).withColumn("place", F.explode(F.sequence(F.lit(0), F.size("tokens") - size)))
+    hashed = places.withColumns({f: _windows(f, size) for f in FORMS})
+    forms = F.array(F.col("named"), F.when(F.col("worded") != F.col("named"), F.col("worded")))
+    return hashed.select(*keep, "place", F.posexplode(forms).alias("form", "window")).filter("window is not null")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``item_id, n_item, size, at, window, item_tokens, kinds`` of the windows that say enough."""
+    """``item_id, n_item, size, at, window, item_form, item_tokens, kinds`` of the windows that say enough."""
     items = benchmark.filter("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
-    kinds = F.transform("tokens", lambda t, i: (
-        F.when(t < ":", F.when(t >= "0", "number").otherwise("name"))
-        .when(t.isin(UNITS) & _is_number(F.get("tokens", i - 1)), "unit").otherwise("")))
-    hashed = with_tokens(items).withColumns({"kinds": kinds, "n_item": F.size("tokens")}).filter("n_item > 0")
-    sizes = [F.when(F.least("n_item", F.lit(WINDOW)) == k, _windows("hashes", k)) for k in range(1, WINDOW + 1)]
-    exploded = hashed.select(
-        "item_id", "n_item", F.least("n_item", F.lit(WINDOW)).alias("size"), "tokens", "kinds",
-        F.posexplode(F.coalesce(*sizes)).alias("at", "window"))
-    own = exploded.select(
-        "item_id", "n_item", "size", "at", "window", F.slice("tokens", F.col("at") + 1, F.col("size")).alias("item_tokens"),
-        F.slice("kinds", F.col("at") + 1, F.col("size")).alias("kinds"))
+    worded = F.transform("tokens", lambda t, i: F.when(_is_number(t), "number").when(_is_unit(t, i), "unit").otherwise(""))
+    named = F.transform("marked", lambda t, i: F.when(t < "0", "name").otherwise(F.get("worded_kinds", i)))
+    hashed = with_tokens(items).withColumn("worded_kinds", worded).withColumn("named_kinds", named)
+    hashed = hashed.withColumn("n_item", F.size("tokens")).filter("n_item > 0").drop("marked")
+    hashed = hashed.withColumn("size", F.least("n_item", F.lit(WINDOW)))
+    sized = [windows(hashed.filter(F.col("size") == k), k) for k in range(1, WINDOW + 1)]
+    part = lambda c: F.slice(c, F.col("place") + 1, F.col("size"))
+    own = reduce(DataFrame.unionByName, sized).select(
+        "item_id", "n_item", "size", F.col("place").alias("at"), "window", F.col("form").alias("item_form"), part("tokens").alias("item_tokens"),
+        F.when(F.col("form") == 0, part("named_kinds")).otherwise(part("worded_kinds")).alias("kinds"))
     placeholders = F.size(F.filter("kinds", lambda k: k != ""))
     return own.filter(2 * placeholders <= F.col("size"))
 
 
+def _one_to_one(slots: Column) -> Column:
+    item_side = F.transform(slots, lambda s: F.struct(s["k"], s["b"]))
+    document_side = F.transform(slots, lambda s: F.struct(s["k"], s["d"]))
+    return (F.size(F.array_distinct(item_side)) == F.size(slots)) & (F.size(F.array_distinct(document_side)) == F.size(slots))
+
+
+def _covered(ats: Column) -> Column:
+    """How many tokens of the item lie in windows that begin at ``ats``."""
+    start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
+    return F.aggregate(
+        F.array_sort(ats), start, lambda acc, at: F.struct(at.alias("last"), (acc["n"] + F.least(F.col("size"), at - acc["last"])).alias("n")),
+        lambda acc: acc["n"])
+
+
+def _judged(ats: str, slots: str) -> Column:
+    """``n_covered, changed`` if the windows are enough and their slots consistent, else null."""
+    n = _covered(F.col(ats))
+    enough = n >= F.least(F.lit(float(MIN_COVERED)), MIN_SHARE * F.col("n_item"))
+    return F.when(_one_to_one(F.col(slots)) & enough, F.struct(
+        n.alias("n_covered"), F.exists(slots, lambda s: s["b"] != s["d"]).alias("changed")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, keep_key: bool = False) -> DataFrame:
     """``doc_id, item_id, n_covered, n_item, reworded``: a row for each document and item that meet in it.
 
@@ -93,31 +138,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep_key: bool = False)
     scratch = Scratch(docs.sparkSession, "benchmark")
     known = scratch.table(benchmark_windows(benchmark))
     size = known.agg(F.count(F.lit(1)).alias("n"), F.collect_set("size").alias("sizes")).first()
-    hashed = with_tokens(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), "text"))
+    hashed = with_tokens(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key().alias("row"), "text")).drop("marked")
     hits = None
     for k in sorted(size["sizes"]) or [WINDOW]:  # one size, and those of shorter items
-        places = hashed.select("doc_id", "row", "tokens", F.posexplode(_windows("hashes", k)).alias("place", "window"))
+        places = windows(hashed, k)
         items = known.filter(F.col("size") == k)
         if size["n"] <= MAX_BROADCAST:
             items = F.broadcast(items)
         met = places.join(items, "window").select(
             "doc_id", "row", "item_id", "n_item", "size", "at", (F.col("place") - F.col("at")).alias("diagonal"),
+            ((F.col("form") == 0) & (F.col("item_form") == 0)).alias("plain"),
             F.filter(F.arrays_zip(F.col("kinds").alias("k"), F.col("item_tokens").alias("b"), F.slice("tokens", F.col("place") + 1, F.lit(k)).alias("d")),
                      lambda s: s["k"] != "").alias("slots"))
         hits = met if hits is None else hits.unionByName(met)
     lines = hits.groupBy("doc_id", "row", "item_id", "n_item", "size", "diagonal").agg(
-        F.array_sort(F.collect_set("at")).alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    n_slots = F.size("slots")
-    item_side = F.transform("slots", lambda s: F.struct(s["k"], s["b"]))
-    document_side = F.transform("slots", lambda s: F.struct(s["k"], s["d"]))
-    consistent = (F.size(F.array_distinct(item_side)) == n_slots) & (F.size(F.array_distinct(document_side)) == n_slots)
-    start = F.struct(F.lit(-WINDOW).alias("last"), F.lit(0).alias("n"))
-    covered = F.aggregate(
-        "ats", start, lambda acc, at: F.struct(at.alias("last"), (acc["n"] + F.least(F.col("size"), at - acc["last"])).alias("n")),
-        lambda acc: acc["n"])
-    judged = lines.withColumns({
-        "consistent": consistent, "n_covered": covered, "changed": F.exists("slots", lambda s: s["b"] != s["d"])})
-    enough = F.col("n_covered") >= F.least(F.lit(float(MIN_COVERED)), MIN_SHARE * F.col("n_item"))
-    return judged.filter(F.col("consistent") & enough).groupBy("doc_id", *(["row"] if keep_key else []), "item_id").agg(
-        F.max("n_covered").cast("bigint").alias("n_covered"), F.max("n_item").cast("bigint").alias("n_item"),
-        F.min("changed").alias("reworded"))
+        F.collect_set(F.when(F.col("plain"), F.col("at"))).alias("plain_ats"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(F.col("plain"), F.col("slots"))))).alias("plain_slots"),
+        F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+    plain, wide = _judged("plain_ats", "plain_slots"), _judged("ats", "slots")
+    judged = lines.withColumns({"plain": plain, "wide": wide})
+    first = lambda f, n: F.coalesce(f(f"plain.{n}"), f(f"wide.{n}"))
+    return judged.filter("plain is not null or wide is not null").groupBy("doc_id", *(["row"] if keep_key else []), "item_id").agg(
+        first(F.max, "n_covered").cast("bigint").alias("n_covered"), F.max("n_item").cast("bigint").alias("n_item"),
+        first(F.min, "changed").alias("reworded"))

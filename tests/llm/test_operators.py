@@ -147,6 +147,18 @@ def test_contaminated_documents(spark):
     assert decontaminate.contaminated(_frame(spark, texts), _benchmark(spark).filter("false")).collect() == []
 
 
+def _found(spark, item: str, text: str):
+    benchmark = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    return [tuple(r)[2:] for r in decontaminate.contaminated(_frame(spark, [(1, text)]), benchmark).collect()]
+
+
+@pytest.mark.parametrize("change", [str.lower, str.upper, str.title, lambda t: t.replace(",", ""), lambda t: t.replace(" Ann", ", Ann")])
+def test_letter_case_and_punctuation_hide_no_item(spark, change):
+    item = "The train of Tom Miller leaves Berlin, and 5 Miles later it meets Anna Smith, who sold Old Maps in Rome for years"
+    [(_, n_item, reworded)] = _found(spark, item, f"before it {change(item)} and after")
+    assert (n_item, reworded) == (23, False)
+
+
 def test_shuffled_benchmark_join_gives_the_same(spark, monkeypatch):
     docs = _frame(spark, [(4, "the quick brown fox jumps over the lazy dog while the band plays on and on")])
     want = decontaminate.contaminated(docs, _benchmark(spark)).collect()
