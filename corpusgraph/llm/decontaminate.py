@@ -7,14 +7,16 @@ lower-cased words, since letter case and punctuation decide what looks like a na
 by either. Hits of one document and
 item on one diagonal (the same distance between their places) belong together. They count if the slots are
 consistent, that is if the item's slot values map one to one to the document's; so a question with other numbers or
-names is caught, and a text that only looks alike is not. A document is contaminated by an item if ``MIN_COVERED``
+names is caught, and a text that only looks alike is not. Words put in or left out move the diagonal: diagonals that
+follow each other within ``MAX_DRIFT`` are one passage, whose windows and slots are also judged together. A document is contaminated by an item if ``MIN_COVERED``
 tokens, or ``MIN_SHARE`` of a shorter item, lie in such windows.
 
 The document side is one scan with no shuffle up to the join. The benchmark's windows are broadcast only if they
 are counted to be at most ``MAX_BROADCAST``; beyond that both sides are shuffled by window hash. Only hits are
 shuffled after the join.
 
-``n_covered`` and ``reworded`` are of windows with names as placeholders where these are enough alone, else of all.
+``n_covered`` and ``reworded`` are of windows with names as placeholders on one diagonal where these are
+enough alone, else of all.
 
 Defined results: null or empty texts hit nothing. Items with the same text count as the one with the smallest id.
 Items shorter than a window are one window of their own length. Windows with more placeholders than other tokens say
@@ -26,6 +28,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Scratch, row_key
@@ -34,6 +37,8 @@ WINDOW = 8
 MIN_COVERED = 13
 MIN_SHARE = 0.8
 MAX_BROADCAST = 200_000
+# Hits whose diagonals follow each other at no more than this are of one passage.
+MAX_DRIFT = 8
 UNITS = ("km m cm mm kg g mg lb lbs oz l ml mph kmh miles mile meters metres meter metre feet foot ft inches inch dollars "
          "dollar euros euro cents pounds percent hours hour minutes minute seconds second days day weeks week months month "
          "years year degrees tons tonnes litres liters gallons").split()
@@ -122,11 +127,11 @@ def _covered(ats: Column) -> Column:
         lambda acc: acc["n"])
 
 
-def _judged(ats: str, slots: str) -> Column:
+def _judged(ats: Column, slots: Column) -> Column:
     """``n_covered, changed`` if the windows are enough and their slots consistent, else null."""
-    n = _covered(F.col(ats))
+    n = _covered(ats)
     enough = n >= F.least(F.lit(float(MIN_COVERED)), MIN_SHARE * F.col("n_item"))
-    return F.when(_one_to_one(F.col(slots)) & enough, F.struct(
+    return F.when(_one_to_one(slots) & enough, F.struct(
         n.alias("n_covered"), F.exists(slots, lambda s: s["b"] != s["d"]).alias("changed")))
 
 
@@ -155,9 +160,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep_key: bool = False)
         F.collect_set(F.when(F.col("plain"), F.col("at"))).alias("plain_ats"),
         F.array_distinct(F.flatten(F.collect_set(F.when(F.col("plain"), F.col("slots"))))).alias("plain_slots"),
         F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    plain, wide = _judged("plain_ats", "plain_slots"), _judged("ats", "slots")
-    judged = lines.withColumns({"plain": plain, "wide": wide})
+    by_place = W.partitionBy("doc_id", "row", "item_id").orderBy("diagonal")
+    apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_place) > MAX_DRIFT, F.lit(False))
+    near = lines.withColumn("apart", apart.cast("int")).withColumn("passage", F.sum("apart").over(by_place))
+    passages = near.groupBy("doc_id", "row", "item_id", "n_item", "size", "passage").agg(F.collect_list(F.struct(
+        "plain_ats", "plain_slots", "ats", "slots")).alias("lines"))
+    passages = passages.withColumns({n: F.array_distinct(F.flatten(f"lines.{n}")) for n in ("ats", "slots")})
+    plain = F.transform("lines", lambda x: _judged(x["plain_ats"], x["plain_slots"]))
+    wide = F.concat(F.array(_judged(F.col("ats"), F.col("slots"))), F.transform("lines", lambda x: _judged(x["ats"], x["slots"])))
+    judged = passages.select("doc_id", "row", "item_id", "n_item", *[
+        F.struct(F.array_max(r.getField("n_covered")).alias("n_covered"), F.array_min(r.getField("changed")).alias("changed")).alias(n)
+        for n, r in (("plain", plain), ("wide", wide))]).filter("plain.n_covered is not null or wide.n_covered is not null")
     first = lambda f, n: F.coalesce(f(f"plain.{n}"), f(f"wide.{n}"))
-    return judged.filter("plain is not null or wide is not null").groupBy("doc_id", *(["row"] if keep_key else []), "item_id").agg(
+    return judged.groupBy("doc_id", *(["row"] if keep_key else []), "item_id").agg(
         first(F.max, "n_covered").cast("bigint").alias("n_covered"), F.max("n_item").cast("bigint").alias("n_item"),
         first(F.min, "changed").alias("reworded"))

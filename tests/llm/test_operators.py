@@ -159,6 +159,14 @@ def test_letter_case_and_punctuation_hide_no_item(spark, change):
     assert (n_item, reworded) == (23, False)
 
 
+def test_words_put_in_or_left_out_hide_no_item(spark):
+    words = [f"word{chr(97 + i)}" for i in range(24)]
+    whole, spread = " ".join(words), [*words[:8], "put", *words[8:16], "in", "two", *words[16:]]
+    assert _found(spark, whole, " ".join(spread)) == [(24, 24, False)]
+    assert _found(spark, whole, " ".join(words[:12] + words[13:])) == [(23, 24, False)]
+    assert _found(spark, whole, " ".join([*words[:8], *["apart"] * 30, *words[8:16]])) == []
+
+
 def test_shuffled_benchmark_join_gives_the_same(spark, monkeypatch):
     docs = _frame(spark, [(4, "the quick brown fox jumps over the lazy dog while the band plays on and on")])
     want = decontaminate.contaminated(docs, _benchmark(spark)).collect()
