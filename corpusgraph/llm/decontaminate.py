@@ -8,7 +8,8 @@ by either. Hits of one document and
 item on one diagonal (the same distance between their places) belong together. They count if the slots are
 consistent, that is if the item's slot values map one to one to the document's; so a question with other numbers or
 names is caught, and a text that only looks alike is not. Words put in or left out move the diagonal: diagonals that
-follow each other within ``MAX_DRIFT`` are one passage, whose windows and slots are also judged together. A document is contaminated by an item if ``MIN_COVERED``
+follow each other within ``MAX_DRIFT`` are one passage. Its windows with the item's own values count whatever the others
+hold; those with other values count, all or those of one diagonal, if their slots are consistent. A document is contaminated by an item if ``MIN_COVERED``
 tokens, or ``MIN_SHARE`` of a shorter item, lie in such windows.
 
 The document side is one scan with no shuffle up to the join. The benchmark's windows are broadcast only if they
@@ -156,18 +157,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep_key: bool = False)
             F.filter(F.arrays_zip(F.col("kinds").alias("k"), F.col("item_tokens").alias("b"), F.slice("tokens", F.col("place") + 1, F.lit(k)).alias("d")),
                      lambda s: s["k"] != "").alias("slots"))
         hits = met if hits is None else hits.unionByName(met)
+    edited = F.exists("slots", lambda s: s["b"] != s["d"])
     lines = hits.groupBy("doc_id", "row", "item_id", "n_item", "size", "diagonal").agg(
         F.collect_set(F.when(F.col("plain"), F.col("at"))).alias("plain_ats"),
         F.array_distinct(F.flatten(F.collect_set(F.when(F.col("plain"), F.col("slots"))))).alias("plain_slots"),
-        F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
+        F.collect_set(F.when(~edited, F.col("at"))).alias("same_ats"), F.collect_set(F.when(edited, F.col("at"))).alias("ats"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(edited, F.col("slots"))))).alias("slots"))
     by_place = W.partitionBy("doc_id", "row", "item_id").orderBy("diagonal")
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by_place) > MAX_DRIFT, F.lit(False))
     near = lines.withColumn("apart", apart.cast("int")).withColumn("passage", F.sum("apart").over(by_place))
     passages = near.groupBy("doc_id", "row", "item_id", "n_item", "size", "passage").agg(F.collect_list(F.struct(
-        "plain_ats", "plain_slots", "ats", "slots")).alias("lines"))
-    passages = passages.withColumns({n: F.array_distinct(F.flatten(f"lines.{n}")) for n in ("ats", "slots")})
+        "plain_ats", "plain_slots", "same_ats", "ats", "slots")).alias("lines"))
+    passages = passages.withColumns({n: F.array_distinct(F.flatten(f"lines.{n}")) for n in ("same_ats", "ats", "slots")})
     plain = F.transform("lines", lambda x: _judged(x["plain_ats"], x["plain_slots"]))
-    wide = F.concat(F.array(_judged(F.col("ats"), F.col("slots"))), F.transform("lines", lambda x: _judged(x["ats"], x["slots"])))
+    none = F.array().cast(passages.schema["slots"].dataType)
+    wide = F.concat(
+        F.array(_judged(F.col("same_ats"), none), _judged(F.array_union("same_ats", "ats"), F.col("slots"))),
+        F.transform("lines", lambda x: _judged(F.array_union("same_ats", x["ats"]), x["slots"])))
     judged = passages.select("doc_id", "row", "item_id", "n_item", *[
         F.struct(F.array_max(r.getField("n_covered")).alias("n_covered"), F.array_min(r.getField("changed")).alias("changed")).alias(n)
         for n, r in (("plain", plain), ("wide", wide))]).filter("plain.n_covered is not null or wide.n_covered is not null")

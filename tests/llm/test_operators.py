@@ -167,6 +167,14 @@ def test_words_put_in_or_left_out_hide_no_item(spark):
     assert _found(spark, whole, " ".join([*words[:8], *["apart"] * 30, *words[8:16]])) == []
 
 
+def test_an_edited_value_hides_no_copy(spark):
+    words = " ".join(f"word{chr(97 + i)}" for i in range(26))
+    item = f"a cart holds 5 crates {words} and 5 trucks"
+    assert _found(spark, item, item.replace("5 trucks", "6 trucks")) == [(34, 34, False)]
+    close = item.replace(words, "and more with 5 in it")
+    assert _found(spark, close, close.replace("5 trucks", "6 trucks").replace("5 in", "7 in")) == []
+
+
 def test_shuffled_benchmark_join_gives_the_same(spark, monkeypatch):
     docs = _frame(spark, [(4, "the quick brown fox jumps over the lazy dog while the band plays on and on")])
     want = decontaminate.contaminated(docs, _benchmark(spark)).collect()
