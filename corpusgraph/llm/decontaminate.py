@@ -21,7 +21,8 @@ enough alone, else of all.
 
 Defined results: null or empty texts hit nothing. Items with the same text count as the one with the smallest id.
 Items shorter than a window are one window of their own length. Windows with more placeholders than other tokens say
-too little and do not count. Rows that share an id are one document. Other columns are ignored, whatever their names.
+too little: they count only where all their lower-cased words are the document's. Rows that share an id are one
+document. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -52,8 +53,8 @@ NAME_START = r"(?=\p{Lu})(?<=[\p{Ll}\p{N},;]\s)"
 POINT_IN_NUMBER = r"[.,](?<=[0-9].)(?=[0-9])"
 BETWEEN_WORDS = r"[^\p{L}\p{N}\x01\x02]+"
 KINDS = ["", "number", "name", "unit"]
-# Hashes of the templates, the one with names as placeholders first.
-FORMS = ["named", "worded"]
+# Hashes of the templates, the one with names as placeholders first, and of the words themselves.
+FORMS = ["named", "worded", "literal"]
 
 
 def _is_number(token: Column) -> Column:
@@ -65,7 +66,7 @@ def _is_unit(token: Column, i: Column) -> Column:
 
 
 def with_tokens(rows: DataFrame) -> DataFrame:
-    """``tokens`` (lower-cased words), names ``marked``, and the hashes of either template (``FORMS``) in place of ``text``.
+    """``tokens`` (lower-cased words), names ``marked``, and the hashes of each form (``FORMS``) in place of ``text``.
 
     Each step is a column of its own, so that a token's look at the one before does not split the text anew.
     """
@@ -75,8 +76,9 @@ def with_tokens(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("marked", F.filter("marked", lambda t: t != ""))
     rows = rows.withColumn("tokens", F.transform("marked", lambda t: F.when(t < "0", F.substring(t, 2, 2**31 - 1)).otherwise(t)))
     number, name, unit = (F.xxhash64(F.lit(NAME + k)) for k in KINDS[1:])
+    rows = rows.withColumn("literal", F.transform("tokens", lambda t: F.xxhash64(t)))
     rows = rows.withColumn("worded", F.transform("tokens", lambda t, i: (
-        F.when(_is_number(t), number).when(_is_unit(t, i), unit).otherwise(F.xxhash64(t)))))
+        F.when(_is_number(t), number).when(_is_unit(t, i), unit).otherwise(F.get("literal", i)))))
     return rows.withColumn("named", F.transform("marked", lambda t, i: F.when(t < "0", name).otherwise(F.get("worded", i))))
 
 
@@ -93,12 +95,12 @@ def windows(rows: DataFrame, size: int) -> DataFrame:
     keep = [c for c in rows.columns if c not in FORMS]
     places = rows.filter(F.size("tokens") >= size).withColumn("place", F.explode(F.sequence(F.lit(0), F.size("tokens") - size)))
     hashed = places.withColumns({f: _windows(f, size) for f in FORMS})
-    forms = F.array(F.col("named"), F.when(F.col("worded") != F.col("named"), F.col("worded")))
+    forms = F.array(F.col("named"), *[F.when(F.col(b) != F.col(a), F.col(b)) for a, b in zip(FORMS, FORMS[1:])])
     return hashed.select(*keep, "place", F.posexplode(forms).alias("form", "window")).filter("window is not null")
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """``item_id, n_item, size, at, window, item_form, item_tokens, kinds`` of the windows that say enough."""
+    """``item_id, n_item, size, at, window, item_form, item_tokens, kinds`` of the windows, by each form that says enough."""
     items = benchmark.filter("text is not null").groupBy("text").agg(F.min("item_id").alias("item_id"))
     worded = F.transform("tokens", lambda t, i: F.when(_is_number(t), "number").when(_is_unit(t, i), "unit").otherwise(""))
     named = F.transform("marked", lambda t, i: F.when(t < "0", "name").otherwise(F.get("worded_kinds", i)))
@@ -110,8 +112,9 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     own = reduce(DataFrame.unionByName, sized).select(
         "item_id", "n_item", "size", F.col("place").alias("at"), "window", F.col("form").alias("item_form"), part("tokens").alias("item_tokens"),
         F.when(F.col("form") == 0, part("named_kinds")).otherwise(part("worded_kinds")).alias("kinds"))
-    placeholders = F.size(F.filter("kinds", lambda k: k != ""))
-    return own.filter(2 * placeholders <= F.col("size"))
+    says_little = 2 * F.size(F.filter("kinds", lambda k: k != "")) > F.col("size")
+    # Windows whose words and names say too little by any template meet by all their words.
+    return own.filter((F.col("item_form") == FORMS.index("literal")) == says_little)
 
 
 def _one_to_one(slots: Column) -> Column:

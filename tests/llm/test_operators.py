@@ -175,6 +175,15 @@ def test_an_edited_value_hides_no_copy(spark):
     assert _found(spark, close, close.replace("5 trucks", "6 trucks").replace("5 in", "7 in")) == []
 
 
+@pytest.mark.parametrize("item", [
+    "Which of Alice Brown, Bob Smith, Carla Jones, David King, Emma White, and Frank Hall won",
+    "Add 12 and 7 and 3.5 km 4 kg 9 81 15 and 6 8 10 20 hours"])
+def test_items_full_of_placeholders_are_found_verbatim_alone(spark, item):
+    [(n_covered, n_item, reworded)] = _found(spark, item, f"before it {item} and after")
+    assert n_covered == n_item and not reworded
+    assert _found(spark, item, item.translate(str.maketrans("123456789BSJKWH", "234567891SJKWHB"))) == []
+
+
 def test_shuffled_benchmark_join_gives_the_same(spark, monkeypatch):
     docs = _frame(spark, [(4, "the quick brown fox jumps over the lazy dog while the band plays on and on")])
     want = decontaminate.contaminated(docs, _benchmark(spark)).collect()
