@@ -1,6 +1,7 @@
 """The queries that SQL can express, as DuckDB SQL over the same tables."""
 
 from .decontaminate import UNITS
+from .secret_scan import BASE_RULES, RULES
 
 OP1_SUBSTRING_DEDUP = r"""
 WITH words AS (
@@ -141,9 +142,73 @@ WHERE coalesce(n = nb AND n = nd, true) AND covered >= least(13, 0.8 * n_item)
 GROUP BY u.doc_id, u.item_id
 """.replace("UNITS", ", ".join(f"'{u}'" for u in UNITS))
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                 '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP11_LEXICAL_SEARCH = f"""
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS ts FROM documents),
+docs AS (SELECT r, doc_id, len(ts) AS n FROM texts WHERE len(ts) > 0),
+totals AS (SELECT count(*) AS all_docs, sum(n)::BIGINT AS all_terms FROM docs),
+asked AS (
+  SELECT i, item_id, unnest(list_distinct({_TERMS})) AS term
+  FROM (SELECT row_number() OVER () AS i, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark))
+),
+held AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(ts) AS term FROM texts)
+  WHERE term IN (SELECT term FROM asked) GROUP BY r, term
+),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * all_docs + 2) / (2 * df + 1)))::BIGINT AS w
+  FROM (SELECT term, count(*) AS df FROM held GROUP BY term), totals
+),
+scored AS (
+  SELECT i, any_value(item_id) AS item_id, r, any_value(doc_id) AS doc_id,
+         sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * all_docs) // all_terms))))::BIGINT AS score
+  FROM held JOIN docs USING (r) JOIN weights USING (term) JOIN asked USING (term), totals GROUP BY i, r
+)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10
+"""
+
+
+def _spans_sql(rank: int) -> str:
+    """The spans of one rule. RE2 folds more than A-Z, so letters in either case are written out."""
+    rule = RULES[rank]
+    pattern = rule.pattern.replace("\\x20", " ").replace("'", "''")
+    if rule.fold:
+        head, tail = pattern.split(")", 1)
+        pattern = "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in head) + ")" + tail
+    judged = f"regexp_extract_all(text, '{pattern}', {rule.group})" if rule.least else "m"
+    return f"""
+  SELECT row, {rank} AS rank, start, start + length(m[k]) AS "end" FROM (
+    SELECT row, m, k, g[k] AS judged, (list_sum(list_transform(p[1:k], lambda x: length(x)))
+           + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0))::BIGINT AS start
+    FROM (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM (
+      SELECT row, regexp_extract_all(text, '{pattern}') AS m, regexp_split_to_array(text, '{pattern}') AS p, {judged} AS g FROM texts))
+  ) WHERE length(judged) >= {rule.least}"""
+
+
+OP12_SECRET_SCAN = f"""
+WITH texts AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({" UNION ALL ".join(_spans_sql(r) for r in range(len(RULES)))}),
+written AS (SELECT row, rank, start, {list(r.kind for r in RULES)}[rank + 1] || ':' || start || ':' || "end" AS span FROM spans),
+found AS (
+  SELECT row, {", ".join(f"count(*) FILTER (WHERE rank = {r}) AS n_{rule.kind}" for r, rule in enumerate(BASE_RULES))},
+         string_agg(span, ',' ORDER BY start, rank) FILTER (WHERE rank < {len(BASE_RULES)}) AS base,
+         string_agg(span, ',' ORDER BY start, rank) AS spans
+  FROM written GROUP BY row
+)
+SELECT doc_id, {", ".join(f"coalesce(n_{rule.kind}, 0) AS n_{rule.kind}" for rule in BASE_RULES)},
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts t LEFT JOIN found f ON t.row = f.row
+"""
+
 ORACLES = {
     "op1_substring_dedup": OP1_SUBSTRING_DEDUP,
     "op3_near_dedup": OP3_NEAR_DEDUP,
     "op4_line_dedup": OP4_LINE_DEDUP,
     "op5_decontamination": OP5_DECONTAMINATION,
+    "op11_lexical_search": OP11_LEXICAL_SEARCH,
+    "op12_secret_scan": OP12_SECRET_SCAN,
 }

@@ -6,14 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contaminated
 from .html_extract import extract_text, learn_weights
+from .lexical_search import rank_documents
 from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack
 from .quality_rules import judge_quality
+from .secret_scan import secret_digest
 from .substring_dedup import dedup_substrings
 from .token_counts import document_token_counts
 from .toxicity import fit_toxicity
 from .url_filter import judge_urls
+from .whitening import whiten
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -66,6 +69,18 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_read(spark, folder, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return rank_documents(_read(spark, folder, "documents"), _read(spark, folder, "benchmark"))
+
+
+def op12_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_digest(_read(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(_read(spark, folder, "embeddings"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -77,4 +92,7 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_quality_rules": op9_quality_rules,
     "op10_packing": op10_packing,
+    "op11_lexical_search": op11_lexical_search,
+    "op12_secret_scan": op12_secret_scan,
+    "op13_whitening": op13_whitening,
 }
