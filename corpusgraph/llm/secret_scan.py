@@ -142,30 +142,47 @@ def trigram_query(pattern: str) -> Query:
     return query if strings is None else _of_strings(strings)
 
 
-def _running_sums(steps: Column) -> Column:
-    """Sums up to each element of a non-empty array."""
-    def grown(values: Column, start: Column) -> Column:
-        return F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
-
-    zero = F.lit(0).cast("bigint")
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / SUM_BLOCK).cast("int")),
-                         lambda b: F.slice(steps, b * SUM_BLOCK + 1, SUM_BLOCK))
-    before = grown(F.transform(blocks, lambda b: F.aggregate(b, zero, lambda acc, x: acc + x)), zero)
-    return F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda b, s: F.slice(grown(b, s), 2, SUM_BLOCK)))
-
-
-def spans_of(text: Column, rule: Rule, rank: int) -> Column:
-    """``array<struct<start, rank, end>>`` of the rule's matches in a text."""
-    pattern = F.lit(rule.regex)
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    between = F.split(text, rule.regex, -1)
-    steps = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda a, b: (F.length(a) + F.length(b)).cast("bigint"))
-    spans = F.zip_with(_running_sums(steps), found, lambda end, m: F.struct(
-        (end - F.length(m)).alias("start"), F.lit(rank).alias("rank"), end.alias("end")))
-    if rule.least:
-        judged = found if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
-        spans = F.filter(F.zip_with(spans, judged, lambda s, v: F.when(F.length(v) >= rule.least, s)), lambda s: s.isNotNull())
-    return F.when(F.size(found) > 0, spans).otherwise(F.array().cast(_SPANS))
+def _grown(values: Column, start: Column) -> Column:
+    """``start`` and the running sums of ``values`` after it."""
+    return F.aggregate(values, F.array(start), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+
+def find_spans(texts: DataFrame, rules: dict[int, Rule], gate: str | None = None) -> DataFrame:
+    """``texts`` without ``text`` and with ``spans``: the matches of all ``rules`` (by rank), unordered.
+
+    ``gate``: a column with a bit mask of the ranks that a text is searched for. Steps are columns of their own, so that
+    no expression is computed twice.
+    """
+    kept = [c for c in texts.columns if c != "text"]
+    zero, none = F.lit(0).cast("bigint"), F.array().cast(_SPANS)
+    wanted = {r: F.lit(True) if gate is None else F.expr(f"({gate} & {1 << r}L) <> 0") for r in rules}
+    found = texts.select(*kept, "text", *[
+        F.when(wanted[r], F.regexp_extract_all("text", F.lit(rule.regex), F.lit(0))).alias(f"found{r}")
+        for r, rule in rules.items()])
+    for r, rule in rules.items():
+        some = F.size(f"found{r}") > 0
+        judged = F.col(f"found{r}") if not rule.group else F.regexp_extract_all("text", F.lit(rule.regex), F.lit(rule.group))
+        found = found.withColumns({
+            f"judged{r}": F.when(some, judged),
+            f"between{r}": F.when(some, F.split("text", rule.regex, -1)),
+        })
+    found = found.drop("text")
+    for r, rule in rules.items():
+        found = (
+            found.withColumn("steps", F.zip_with(
+                F.slice(f"between{r}", 1, F.size(f"found{r}")), f"found{r}", lambda a, b: (F.length(a) + F.length(b)).cast("bigint")))
+            .withColumn("blocks", F.when(F.size("steps") > 0, F.transform(
+                F.sequence(F.lit(0), F.floor((F.size("steps") - 1) / SUM_BLOCK).cast("int")),
+                lambda b: F.slice("steps", b * SUM_BLOCK + 1, SUM_BLOCK))))
+            .withColumn("before", _grown(F.transform("blocks", lambda b: F.aggregate(b, zero, lambda acc, x: acc + x)), zero))
+            .withColumn("ends", F.flatten(F.zip_with(
+                "blocks", F.slice("before", 1, F.size("blocks")), lambda b, s: F.slice(_grown(b, s), 2, SUM_BLOCK))))
+            .withColumn(f"found{r}", F.zip_with(F.zip_with("ends", f"found{r}", lambda end, m: F.struct(
+                (end - F.length(m)).alias("start"), F.lit(r).alias("rank"), end.alias("end"))),
+                f"judged{r}", lambda span, v: F.when(F.length(v) >= rule.least, span)))
+            .drop("steps", "blocks", "before", "ends", f"between{r}", f"judged{r}"))
+    spans = F.concat(none, *[F.coalesce(F.array_compact(f"found{r}"), none) for r in rules])
+    return found.select(*kept, spans.alias("spans"))
 
 
 _SPANS = "array<struct<start:bigint,rank:int,end:bigint>>"
@@ -209,22 +226,16 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     numbered = scratch.table(docs.select(
         F.col("doc_id"), text.alias("text"), (F.monotonically_increasing_id() + 1).alias("row")))
 
-    def all_spans(ranks, gate=None) -> Column:
-        none = F.array().cast(_SPANS)
-        parts = [spans_of(F.col("text"), rules[r], r) for r in ranks]
-        if gate is not None:
-            parts = [F.when(F.expr(f"(rules & {1 << r}L) <> 0"), p).otherwise(none) for r, p in zip(ranks, parts)]
-        return F.concat(none, *parts)
-
-    scanned = numbered.select("doc_id", "row", all_spans([r for r in queries if r not in indexed]).alias("scanned"))
-    if not indexed:
-        return scanned.select("doc_id", F.array_sort("scanned").alias("spans"))
-    trigrams = sorted({t for query in indexed.values() for alternative in query for t in alternative})
-    chosen = scratch.table(candidates(build_index(numbered, trigrams), indexed))
-    verified = scratch.table(
-        numbered.join(chosen, "row").select("row", all_spans(list(indexed), "rules").alias("verified")).filter("size(verified) > 0"))
-    return scanned.join(verified, "row", "left").select(
-        "doc_id", F.array_sort(F.concat("scanned", F.coalesce("verified", F.array().cast(_SPANS)))).alias("spans"))
+    scanned = find_spans(numbered, {r: rules[r] for r in queries if r not in indexed})
+    if indexed:
+        trigrams = sorted({t for query in indexed.values() for alternative in query for t in alternative})
+        chosen = scratch.table(candidates(build_index(numbered, trigrams), indexed))
+        verified = scratch.table(
+            find_spans(numbered.join(chosen, "row").select("row", "rules", "text"), {r: rules[r] for r in indexed}, "rules")
+            .filter("size(spans) > 0").select("row", F.col("spans").alias("verified")))
+        spans = F.concat("spans", F.coalesce("verified", F.array().cast(_SPANS)))
+        scanned = scanned.join(verified, "row", "left").withColumn("spans", spans)
+    return scanned.select("doc_id", F.array_sort("spans").alias("spans"))
 
 
 def spans_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
