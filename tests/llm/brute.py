@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -82,3 +85,56 @@ def statistics(text: str | None) -> tuple:
     covered = {i + k for i in range(len(ws) - 2) if seen[tuple(ws[i: i + 3])] > 1 for k in range(3)}
     ls = [x for x in text.split("\n") if WORD.search(x)]
     return len(ws), sum(map(len, ws)), sum(c in "#*$%&|<>" for c in text), len(ls) - len(set(ls)), len(covered)
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def ranking(docs: list[tuple], items: list[tuple], k: int) -> list[tuple]:
+    """(item, rank, id, score): all scores of every document, sorted; a null id is the last of equal scores."""
+    held = [(d, Counter(TERM.findall((t or "").translate(LOWER)))) for d, t in docs]
+    held = [(d, c) for d, c in held if c]
+    size, total = len(held), sum(c.total() for _, c in held)
+    found = []
+    for item, text in dict.fromkeys(items):
+        scored = []
+        for d, counts in held:
+            m, score = 100 - 90 + (90 * counts.total() * size) // total, 0
+            for term in dict.fromkeys(TERM.findall((text or "").translate(LOWER))):
+                df = sum(term in c for _, c in held)
+                if counts[term]:
+                    w = math.floor(1000 * math.log((2 * size + 2) / (2 * df + 1)))
+                    score += w * ((1000000000 * counts[term]) // (1000 * counts[term] + 8 * m))
+            if score > 0:
+                scored.append((-score, d is None, d or 0, d))
+        found += [(item, r, s[3], -s[0]) for r, s in enumerate(sorted(scored, key=lambda s: s[:3])[:k], 1)]
+    return found
+
+
+ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+
+
+def secrets(text: str | None) -> list[tuple]:
+    """(start, kind, end) of the base kinds, in the order asked for."""
+    text = text or ""
+    # Python folds two letters beyond A-Z onto s and k; they are none here.
+    plain = text.replace("ſ", "\u0000").replace("K", "\u0000")
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(plain) if len(m[2]) >= 6]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(spans)
+
+
+def whitening(vectors: list[tuple], k: int) -> tuple[int, dict, "np.ndarray", float]:
+    """Rows of the fit list, deviation by id, eigenvalues, trace: products of centred fractions."""
+    from fractions import Fraction
+
+    kept = [(i, tuple(math.floor(64 * float(c)) + 1000000 for c in v)) for i, v in vectors
+            if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    listed = sorted({x for _, x in kept})
+    n, d = len(listed), len(listed[0])
+    sums = [sum(x[j] for x in listed) for j in range(d)]
+    centred = [[Fraction(n * x[j] - sums[j], n) for j in range(d)] for x in listed]
+    matrix = np.array([[float(sum(r[a] * r[b] for r in centred) / n) for b in range(d)] for a in range(d)])
+    deviation = {i: sum((n * x[j] - sums[j]) ** 2 for j in range(d)) for i, x in kept}
+    return n, deviation, np.linalg.eigvalsh(matrix)[::-1][:k], float(np.trace(matrix))
