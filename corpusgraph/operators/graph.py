@@ -89,7 +89,12 @@ def communities(entities: DataFrame, relations: DataFrame) -> DataFrame:
         F.col("node.document_id").alias("document_id"), F.col("node.graph_key").alias("graph_key"),
         F.col("component.graph_key").alias("root"),
     )
-    placed = keys.join(found, ["document_id", "graph_key"], "left").withColumn("root", F.coalesce("root", "graph_key"))
+    return number_communities(
+        keys.join(found, ["document_id", "graph_key"], "left").withColumn("root", F.coalesce("root", "graph_key")))
+
+
+def number_communities(placed: DataFrame) -> DataFrame:
+    """``document_id, graph_key, root`` (the component's least key) to numbers from 0 in the order of roots."""
     # Rank by the part of the key after the document, so that ranges of first letters share the work.
     roots = placed.select("document_id", "root").distinct().withColumn(
         "label", F.expr("substring(root, length(document_id) + 3)")

@@ -13,8 +13,11 @@ from ..operators import chunking, context, dedup, entities, graph, ordering, ret
 from ..options import Options
 from ..session import cut_lineage, run_table
 from ..sources import units as sources
+from ..sources.log_tables import LogStore
 from ..sources.tables import GraphStore
 from ..streaming import feed as feeds
+from ..streaming import ordered
+from ..streaming.incremental import IncrementalGraph, graph_stream
 from ..streaming.runs import parquet_stream, run_available, run_folder
 from . import corpora as c
 from . import pipeline
@@ -250,9 +253,29 @@ def exact_dedup_stats(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.exact_dedup_stats(c.doc_units(spark, sf))
 
 
+def _mixed_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of the documents as text, table and image units, some of the images seen; every text between two copies
+    that differ by a number or a word, so that merges, appended numbers and priorities all occur."""
+    lines = c.doc_units(spark, sf)
+    place = F.col("unit_seq") * 3
+    numbered = F.concat("text", F.lit(" "), (F.col("unit_seq") % 7).cast("string"))
+    reworded = F.concat(F.col("text"), F.lit(" item"))
+    kind = F.element_at(F.array(F.lit("text"), F.lit("table"), F.lit("image")), (F.length("text") % 3 + 1).cast("int"))
+    parts = [
+        (place, "text", F.col("text"), F.lit(None).cast("string")), (place + 1, kind, numbered, F.lit(None).cast("string")),
+        (place + 2, F.lit("image"), reworded, F.when(F.length("text") % 2 == 0, F.lit("seen"))),
+    ]
+    every = F.array(*[F.struct(
+        seq.alias("unit_seq"), (F.lit(k) if isinstance(k, str) else k).alias("type"), t.alias("text"), v.alias("vision_context"))
+        for seq, k, t, v in parts])
+    return lines.select("document_id", "page", "source", F.explode(every).alias("u")).select("document_id", "page", "source", "u.*")
+
+
 @query
 def similar_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return dedup.similar_pairs(dedup.exact_dedup(c.doc_units(spark, sf)))
+    """Units of a document whose cosine of word counts is 0.85 or more."""
+    found = dedup.similar_pairs(dedup.exact_dedup(c.doc_units(spark, sf)))
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query
@@ -260,6 +283,32 @@ def greedy_merge(spark: SparkSession, sf: str) -> DataFrame:
     return dedup.deduplicate(c.doc_units(spark, sf))
 
 
+@query
+def merge_targets(spark: SparkSession, sf: str) -> DataFrame:
+    """Which kept unit each near copy joins, over units of all types."""
+    found = dedup.merge_targets(dedup.exact_dedup(_mixed_units(spark, sf)))
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query
+def mixed_merge(spark: SparkSession, sf: str) -> DataFrame:
+    """Merged units of all types: priorities (seen images first), appended numbers, later units that meet merged forms."""
+    return dedup.deduplicate(_mixed_units(spark, sf))
+
+
+@query
+def dedup_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Units of each document, and how many went as copies and as near copies."""
+    units = _mixed_units(spark, sf)
+    return dedup.dedup_stats(units, dedup.deduplicate(units))
+
+
+@query
+def near_copy_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Size of each group that is merged in order."""
+    return dedup.near_copy_groups(dedup.exact_dedup(_mixed_units(spark, sf)))
+
+
 @query
 def merge_rule(spark: SparkSession, sf: str) -> DataFrame:
     """Each fact merged with the one before it in its document, as text over image text and the reverse."""
@@ -540,6 +589,61 @@ def stored_graph(spark: SparkSession, sf: str) -> DataFrame:
     return graph.document_counts(tables)
 
 
+def _graph_parts(g: graph.GraphTables) -> dict[str, DataFrame]:
+    chunks = g.chunks.withColumn("type", F.lit("text")).withColumn("coherence_score", F.lit(1.0))
+    return {"chunks": chunks, "entities": g.entities, "mentions": g.mentions, "relationships": g.relationships}
+
+
+@query
+def store_log(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-structured tables after three appended batches, a replayed one, deletions, documents written again, a
+    compaction, and a deletion after it."""
+    store = LogStore(spark, run_folder(spark), buckets=8)
+    parts = {t: run_table(rows, t) for t, rows in _graph_parts(c.fact_graph(spark, sf)).items()}
+    number = F.col("document_id").cast("bigint")
+    for name, part in (("load-0", 0), ("load-1", 1), ("load-1", 1), ("load-2", 2)):
+        with store.commit(name) as commit:
+            for table, rows in parts.items() if commit is not None else ():
+                commit.append(table, rows.filter(number % 3 == part))
+    documents = parts["chunks"].select("document_id").distinct()
+    store.delete_documents(documents.filter(number % 10 == 0))
+    with store.commit("again") as commit:
+        for table, rows in parts.items():
+            commit.upsert(table, rows.filter(number % 15 == 0), documents.filter(number % 15 == 0))
+    store.compact("chunks", "mentions")
+    store.delete_document(documents.agg(F.max("document_id")).first()[0])
+    return graph.document_counts(graph.GraphTables(*[store.load(t) for t in ("chunks", "entities", "mentions", "relationships")]))
+
+
+@query
+def store_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored vectors after being appended in two commits, replaced by one half, and appended to once more."""
+    store = LogStore(spark, run_folder(spark), buckets=8)
+    rows = run_table(c.fact_vectors(spark, sf), "vectors")
+    even, odd = rows.filter("chunk_seq % 2 = 0"), rows.filter("chunk_seq % 2 = 1")
+    store.append("vectors", even)
+    store.append("vectors", odd, "odd")
+    store.append("vectors", odd, "odd")
+    store.replace_all("vectors", odd)
+    store.append("vectors", even.filter("chunk_seq % 4 = 0"))
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x).cast("bigint")
+    return store.load("vectors").select("document_id", "chunk_id", "chunk_seq", "text", total.alias("n_tokens"))
+
+
+@query
+def incremental_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities and communities of a graph that a stream of three files of chunks built, after a batch came again."""
+    folder = run_folder(spark)
+    chunks = c.fact_chunks(spark, sf)
+    for part in range(3):
+        chunks.filter(F.col("chunk_seq") % 3 == part).coalesce(1).write.mode("append").parquet(f"{folder}/chunks")
+    kept_up = IncrementalGraph(spark, f"{folder}/graph", buckets=8)
+    stream = spark.readStream.schema(chunks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/chunks")
+    graph_stream(stream, kept_up, f"{folder}/state", "facts").awaitTermination()
+    kept_up.apply("facts-1", run_table(entities.extract_chunks(chunks.filter("chunk_seq % 3 = 1")), "extracted"))
+    return kept_up.tables().entities.select("document_id", "graph_key", "name", "entity_type", "community_id")
+
+
 # --- retrieval ------------------------------------------------------------------------------------
 
 @query
@@ -869,6 +973,36 @@ def stream_distinct_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return run_available(feeds.distinct_chunks(rows), "append").select("session_id", "chunk_id")
 
 
+DAY_MS = 24 * 3600 * 1000
+
+
+def _late_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """The feed as a stream of files of five days each; every tenth row comes with the next file."""
+    feed, folder = c.feed(spark, sf), run_folder(spark)
+    due = F.floor(F.unix_millis("ts") / (5 * DAY_MS)) + (F.col("seq") % 10 == 3).cast("int")
+    placed = run_table(feed.withColumn("file", due), "feed")
+    low, high = placed.agg(F.min("file"), F.max("file")).first()
+    for number in range(low or 0, (high or 0) + 1):
+        placed.filter(F.col("file") == number).drop("file").repartition(2).write.mode("append").parquet(f"{folder}/feed")
+    return spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/feed")
+
+
+@query
+def ordered_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Changes of state by sequence from late rows, up to the watermark; sessions idle for two days start anew."""
+    states = _late_feed(spark, sf).select("session_id", "seq", "ts", F.col("type").alias("state"))
+    found = run_available(ordered.ordered_changes(states, ["session_id"], "state", "6 days", 2 * DAY_MS), "append")
+    return found.select("session_id", "seq", "state")
+
+
+@query
+def first_chunk_stream(spark: SparkSession, sf: str) -> DataFrame:
+    """First event of each chunk of a session from late rows, up to the watermark; a chunk unseen for four days is new."""
+    seen = _late_feed(spark, sf).select("session_id", F.col("k").alias("chunk_id"), "seq", "ts", F.lit("").alias("mark"))
+    found = run_available(ordered.ordered_changes(seen, ["session_id", "chunk_id"], "mark", "6 days", 4 * DAY_MS), "append")
+    return found.select("session_id", "chunk_id", "seq")
+
+
 @query
 def stream_changes(spark: SparkSession, sf: str) -> DataFrame:
     states = _feed_stream(spark, sf).select("session_id", "seq", F.col("type").alias("state"))

@@ -343,6 +343,65 @@ def _merged(preferred: str, other: str) -> str:
             f"THEN {preferred} || ' ' || {extra} ELSE {preferred} END")
 
 
+MIXED = LINES + """,
+mixed AS (
+  SELECT document_id, page, source, unit_seq * 3 AS unit_seq, 'text' AS type, text, false AS seen FROM lines
+  UNION ALL SELECT document_id, page, source, unit_seq * 3 + 1, ['text', 'table', 'image'][length(text) % 3 + 1], text || ' ' || (unit_seq % 7), false FROM lines
+  UNION ALL SELECT document_id, page, source, unit_seq * 3 + 2, 'image', text || ' item', length(text) % 2 = 0 FROM lines)"""
+
+
+def _near_copies(source: str, seen: str = "false") -> str:
+    """Steps of the ordered merge over a table of units, with every pair of units of a document compared."""
+    slot = ("{'first': %s, 'stand': %s, 'page': %s, 'source': %s, 'type': %s, 'text': %s, 'form': %s, 'priority': %s, 'merged': %s}")
+    win = lambda f: f"CASE WHEN up >= old.priority THEN u_{f} ELSE old.{f} END"
+    fresh = slot % ("u_seq", "u_seq", "u_page", "u_source", "u_type", "u_text", "u_form", "up", "1")
+    joined = slot % ("old.first", "CASE WHEN up >= old.priority THEN u_seq ELSE old.stand END", win("page"), win("source"), win("type"),
+                     "text", NORMAL, "greatest(up, old.priority)", "old.merged + 1")
+    return rf"""
+formed AS (SELECT document_id, unit_seq, page, source, type, text, {NORMAL} AS form,
+    CASE WHEN type = 'image' AND {seen} THEN 3 WHEN type = 'image' THEN 1 ELSE 2 END AS priority FROM {source}),
+u AS (SELECT *, regexp_replace(form, '(\s+\d+(\.\d+)?)+$', '') AS base FROM formed
+    QUALIFY row_number() OVER (PARTITION BY document_id, form ORDER BY unit_seq) = 1),
+counts AS (SELECT document_id, unit_seq, word, count(*) AS n FROM (SELECT document_id, unit_seq, unnest({tokens('text')}) AS word FROM u) GROUP BY ALL),
+norms AS (SELECT document_id, unit_seq, sum(n * n) AS norm FROM counts GROUP BY ALL),
+dots AS (SELECT b.document_id, b.unit_seq, a.unit_seq AS earlier_seq, sum(a.n * b.n) AS dot
+    FROM counts a JOIN counts b ON a.document_id = b.document_id AND a.word = b.word AND a.unit_seq < b.unit_seq GROUP BY ALL),
+pairs AS (SELECT d.document_id, d.unit_seq, earlier_seq, dot::DOUBLE / sqrt(x.norm::DOUBLE * y.norm::DOUBLE) AS similarity
+    FROM dots d JOIN norms x ON d.document_id = x.document_id AND d.unit_seq = x.unit_seq
+    JOIN norms y ON d.document_id = y.document_id AND earlier_seq = y.unit_seq JOIN u ON u.document_id = d.document_id AND u.unit_seq = d.unit_seq
+    WHERE length(form) >= 15 AND dot::DOUBLE / sqrt(x.norm::DOUBLE * y.norm::DOUBLE) >= 0.85),
+ends AS (SELECT DISTINCT document_id, unit_seq FROM (SELECT document_id, unit_seq FROM pairs UNION ALL SELECT document_id, earlier_seq FROM pairs)),
+member AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY unit_seq) AS k FROM u
+    WHERE (document_id, base) IN (SELECT (document_id, base) FROM u SEMI JOIN ends USING (document_id, unit_seq))),
+linked AS (SELECT m.*, coalesce(l.links, MAP {{}}) AS links FROM member m LEFT JOIN (
+    SELECT document_id, unit_seq, map_from_entries(list(({{'k': earlier_seq, 'v': similarity}}))) AS links FROM pairs GROUP BY ALL) l USING (document_id, unit_seq)),
+fold(document_id, k, slots, merge) AS (
+  SELECT DISTINCT document_id, 0::BIGINT, []::STRUCT("first" BIGINT, stand BIGINT, page INTEGER, source VARCHAR, "type" VARCHAR, "text" VARCHAR, form VARCHAR, priority INTEGER, merged INTEGER)[],
+    NULL::STRUCT(unit_seq BIGINT, kept_seq BIGINT, similarity DOUBLE) FROM member
+  UNION ALL
+  SELECT document_id, k, CASE WHEN place = 0 THEN list_append(slots, {fresh}) ELSE list_concat(slots[1:place - 1], [{joined}], slots[place + 1:]) END,
+    CASE WHEN place > 0 THEN {{'unit_seq': u_seq, 'kept_seq': old.first, 'similarity': sim}} END
+  FROM (SELECT *, CASE WHEN place = 0 THEN u_text WHEN up >= old.priority THEN {_merged('u_text', 'old.text')} ELSE {_merged('old.text', 'u_text')} END AS text
+    FROM (SELECT *, slots[place] AS old FROM (SELECT *,
+      CASE WHEN length(u_form) < 15 THEN 0 WHEN same > 0 THEN same WHEN list_max(sims) >= 0.85 THEN list_position(sims, list_max(sims)) ELSE 0 END AS place,
+      CASE WHEN same > 0 THEN 1.0 ELSE list_max(sims) END::DOUBLE AS sim
+    FROM (SELECT f.document_id, f.k + 1 AS k, slots, l.unit_seq AS u_seq, l.page AS u_page, l.source AS u_source, l.type AS u_type, l.text AS u_text,
+        l.form AS u_form, l.priority AS up, coalesce(list_position(list_transform(slots, lambda s: s.form), l.form), 0) AS same,
+        list_transform(slots, lambda s: coalesce(links[s.stand], -1.0)) AS sims
+      FROM fold f JOIN linked l ON f.document_id = l.document_id AND l.k = f.k + 1))))),
+merges AS (SELECT document_id, merge.unit_seq AS unit_seq, merge.kept_seq AS kept_seq, merge.similarity AS similarity FROM fold WHERE merge IS NOT NULL),
+merged AS (
+  SELECT document_id, s.first AS unit_seq, s.page AS page, s.source AS source, s.type AS type, s.text AS text, s.merged AS merged_units
+  FROM (SELECT document_id, unnest(arg_max(slots, k)) AS s FROM fold GROUP BY document_id)
+  UNION ALL SELECT document_id, unit_seq, page, source, type, text, 1 FROM u ANTI JOIN member USING (document_id, unit_seq)),
+star AS (SELECT document_id, base, min(unit_seq) AS first_seq FROM u SEMI JOIN ends USING (document_id, unit_seq) GROUP BY ALL),
+edges AS (SELECT document_id, unit_seq AS a, earlier_seq AS b FROM pairs
+  UNION ALL SELECT m.document_id, unit_seq, first_seq FROM member m JOIN star s ON m.document_id = s.document_id AND m.base = s.base AND unit_seq <> first_seq),
+reached(document_id, a, b) AS (
+  SELECT document_id, a, b FROM edges UNION SELECT document_id, b, a FROM edges
+  UNION SELECT r.document_id, r.a, CASE WHEN e.a = r.b THEN e.b ELSE e.a END FROM reached r JOIN edges e ON r.document_id = e.document_id AND (e.a = r.b OR e.b = r.b))"""
+
+
 def _part_labels() -> str:
     steps = (
         "parts AS (SELECT p_partkey, p_name, p_type, p_brand, '  The ' || p_name || ', ' || p_type || '...' AS odd, "
@@ -483,6 +542,16 @@ SELECT document_id, chunk_seq, sha256(document_id || '#' || chunk_seq) AS chunk_
     sql["normal_forms"] = f"WITH {FACTS} SELECT chunk_id, {NORMAL} AS form FROM facts"
     sql["exact_dedup"] = f"""SELECT min(doc_id) AS unit_seq, sha256({NORMAL}) AS content_hash FROM documents WHERE regexp_matches(text, '\\S') GROUP BY 2""".replace("\\\\S", "\\S")
     sql["exact_dedup_stats"] = f"""WITH {LINES} SELECT document_id, count(*) AS units, count(*) - count(DISTINCT {NORMAL}) AS removed_by_hash FROM lines GROUP BY document_id"""
+    sql["similar_pairs"] = f"WITH RECURSIVE {LINES}, {_near_copies('lines')} SELECT document_id, unit_seq, earlier_seq, round(similarity, 6) AS similarity FROM pairs"
+    sql["greedy_merge"] = f"WITH RECURSIVE {LINES}, {_near_copies('lines')} SELECT * FROM merged"
+    mixed = f"WITH RECURSIVE {MIXED}, {_near_copies('mixed', 'seen')}"
+    sql["mixed_merge"] = f"{mixed} SELECT * FROM merged"
+    sql["merge_targets"] = f"{mixed} SELECT document_id, unit_seq, kept_seq, round(similarity, 6) AS similarity FROM merges"
+    sql["dedup_stats"] = f"""{mixed} SELECT f.document_id, units, units - hashed AS removed_by_hash, hashed - kept AS removed_by_similarity, kept
+FROM (SELECT document_id, count(*) AS units FROM formed GROUP BY 1) f JOIN (SELECT document_id, count(*) AS hashed FROM u GROUP BY 1) h USING (document_id)
+JOIN (SELECT document_id, count(*) AS kept FROM merged GROUP BY 1) m USING (document_id)"""
+    sql["near_copy_groups"] = f"""{mixed} SELECT document_id, group_seq, count(*) AS n_units
+FROM (SELECT document_id, a, least(a, min(b)) AS group_seq FROM reached GROUP BY document_id, a) GROUP BY ALL"""
     sql["merge_rule"] = f"""WITH {FACTS}, p AS (SELECT document_id, chunk_seq AS unit_seq, text AS a, lag(text) OVER (PARTITION BY document_id ORDER BY chunk_seq) AS b FROM facts)
 SELECT document_id, unit_seq, {_merged('a', 'b')} AS newer_wins, {_merged('b', 'a')} AS kept_wins FROM p WHERE b IS NOT NULL"""
     fp = squeeze(f"lower(substr({strip('text')}, 1, 400))")
@@ -563,6 +632,12 @@ FROM (SELECT document_id, count(*) AS n FROM facts GROUP BY 1) f LEFT JOIN (SELE
 LEFT JOIN (SELECT document_id, count(*) AS n FROM edges GROUP BY 1) e USING (document_id)"""
     sql["document_counts"] = g(counts)
     sql["stored_graph"] = g(counts + " WHERE f.document_id <> (SELECT max(document_id) FROM facts)")
+    sql["store_log"] = g(counts + """ WHERE f.document_id <> (SELECT max(document_id) FROM facts)
+AND (CAST(f.document_id AS BIGINT) % 10 <> 0 OR CAST(f.document_id AS BIGINT) % 15 = 0)""")
+    sql["store_vectors"] = f"""WITH {FACTS} SELECT document_id, chunk_id, chunk_seq, text, len({tokens('text')}) AS n_tokens
+FROM facts WHERE chunk_seq % 2 = 1 OR chunk_seq % 4 = 0"""
+    sql["incremental_graph"] = sql["communities"].replace(
+        "SELECT document_id, graph_key, CAST(", "SELECT document_id, graph_key, name, entity_type, CAST(")
     sql["chunks_per_document"] = f"WITH {FACTS} SELECT document_id, count(*) AS chunks FROM facts GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20"
     sql["build_stats"] = g("SELECT count(*) AS chunks_processed, CAST(sum(n_e) AS BIGINT) AS entities_created, CAST(sum(n_r) AS BIGINT) AS relations_created FROM sizes")
 
@@ -679,6 +754,13 @@ SELECT job_id, section, string_agg(key || '=' || value, ',' ORDER BY key) AS pro
     sql["newest_rows"] = f("SELECT session_id, seq, CAST(row_number() OVER w AS INTEGER) AS age FROM feed WINDOW w AS (PARTITION BY session_id ORDER BY seq DESC) QUALIFY row_number() OVER w <= 61")
     sql["terminal_status"] = f("SELECT session_id, CASE max_by(type, seq) WHEN 'purchase' THEN 'completed' ELSE 'failed' END AS status, max(seq) AS seq FROM feed WHERE type IN ('purchase', 'error') GROUP BY 1")
     sql["step_durations"] = f("""SELECT session_id, seq, type, CAST(trunc((epoch_us(lead(ts) OVER w) - epoch_us(ts)) / 1000) AS BIGINT) AS duration_ms FROM feed WINDOW w AS (PARTITION BY session_id ORDER BY seq)""")
+    def stream(keys: str, value: str, idle_days: int) -> str:
+        return f(f""", seen AS (SELECT *, lag(ts) OVER w AS before_ts, lag({value}) OVER w AS before FROM feed WINDOW w AS (PARTITION BY {keys} ORDER BY seq))
+SELECT * FROM seen WHERE (before_ts IS NULL OR before IS DISTINCT FROM {value} OR epoch_ms(ts) - epoch_ms(before_ts) > {idle_days} * 86400000)
+  AND epoch_ms(ts) <= (SELECT epoch_ms(max(ts)) FROM feed) - 6 * 86400000""")
+
+    sql["ordered_changes"] = f"SELECT session_id, seq, type AS state FROM ({stream('session_id', 'type', 2)})"
+    sql["first_chunk_stream"] = f"SELECT session_id, k AS chunk_id, seq FROM ({stream('session_id, k', '1', 4)})"
     sql["stream_session_counts"] = sql["session_counts"]
     sql["stream_latest_state"] = sql["latest_state"]
     sql["stream_distinct_chunks"] = f("SELECT DISTINCT session_id, k AS chunk_id FROM feed")
