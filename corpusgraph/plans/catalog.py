@@ -978,7 +978,7 @@ DAY_MS = 24 * 3600 * 1000
 
 def _late_feed(spark: SparkSession, sf: str) -> DataFrame:
     """The feed as a stream of files of five days each; every tenth row comes with the next file."""
-    feed, folder = c.feed(spark, sf), run_folder(spark)
+    feed, folder = c.feed(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), run_folder(spark)
     due = F.floor(F.unix_millis("ts") / (5 * DAY_MS)) + (F.col("seq") % 10 == 3).cast("int")
     placed = run_table(feed.withColumn("file", due), "feed")
     low, high = placed.agg(F.min("file"), F.max("file")).first()

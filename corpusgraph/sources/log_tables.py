@@ -12,13 +12,16 @@ A reader sees the commits that the log held when ``load`` was called. A failed c
 the next commit overwrites. A commit may carry a batch name; a name that is in the log is not committed again, so a replayed
 batch changes nothing. There is one writer at a time; a second one fails when it writes the same log entry.
 
-The log has a few rows for each commit and comes to the driver; ``compact`` bounds the files a read must open.
+The log has a few lines for each commit and is read by the driver; ``compact`` bounds the files a read must open.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,18 +30,26 @@ from ..operators.skew import salted_join
 from ..session import run_table
 from .tables import BUCKET, SCHEMAS
 
-_LOG = "commit bigint, batch string, target string, operation string"
 _WITH_DATA = ("append", "upsert", "replace", "compact")
 _WITH_MARKERS = ("upsert", "delete")
 _BASES = ("replace", "compact")
 
 
+@dataclass(frozen=True)
+class Entry:
+    commit: int
+    batch: str | None
+    table: str
+    operation: str
+
+
 class LogStore:
     """Tables of one folder, which every executor can reach. ``schemas``: table name -> columns; each has a document_id."""
 
     def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, str] | None = None, buckets: int = 64):
         self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
         self.schemas = SCHEMAS if schemas is None else schemas
+        self._known: dict[int, list[Entry]] = {}
 
     # --- the log ---
 
@@ -51,12 +62,32 @@ class LogStore:
     def _files(self, path: str):
         return self._path(path).getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def log(self) -> list:
-        """Entries in order: ``commit, batch, target, operation``."""
-        if not self._exists(f"{self.folder}/_log"):
-            return []
-        found = self.spark.read.schema(_LOG).parquet(f"{self.folder}/_log/*").collect()
-        return sorted(found, key=lambda e: (e.commit, e.target))
+    def log(self) -> list[Entry]:
+        """Entries in order. Entries never change, so each is read once."""
+        folder = f"{self.folder}/_log"
+        files = self._files(folder)
+        if files.exists(self._path(folder)):
+            for status in files.listStatus(self._path(folder)):
+                name = status.getPath().getName()
+                if name.isdigit() and int(name) not in self._known:
+                    stream = files.open(status.getPath())
+                    try:
+                        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                    finally:
+                        stream.close()
+                    self._known[int(name)] = [Entry(int(name), *json.loads(line)) for line in text.splitlines()]
+        return [entry for number in sorted(self._known) for entry in self._known[number]]
+
+    def _write_entry(self, number: int, rows: list[tuple]) -> None:
+        """Appears whole under its number, or fails where another writer's entry is there already."""
+        final, hidden = self._path(f"{self.folder}/_log/{number}"), self._path(f"{self.folder}/_log/.{number}-{uuid.uuid4().hex}")
+        files = self._files(f"{self.folder}/_log")
+        out = files.create(hidden, False)
+        out.write(bytearray("\n".join(json.dumps(r) for r in rows).encode()))
+        out.close()
+        if files.exists(final) or not files.rename(hidden, final):
+            files.delete(hidden, False)
+            raise RuntimeError(f"commit {number} of {self.folder} was written by another writer")
 
     def has_batch(self, batch: str) -> bool:
         return any(e.batch == batch for e in self.log())
@@ -70,18 +101,16 @@ class LogStore:
             return
         made = Commit(self, 1 + max((e.commit for e in log), default=0))
         yield made
-        entries = [(made.number, batch, table, operation) for table, operation in made.operations] or [(made.number, batch, "", "none")]
-        # Fails where the entry is there already: another writer was faster.
-        self.spark.createDataFrame(entries, _LOG).coalesce(1).write.mode("error").parquet(f"{self.folder}/_log/{made.number}")
+        self._write_entry(made.number, [(batch, table, operation) for table, operation in made.operations] or [(batch, "", "none")])
 
     # --- reading ---
 
     def bucket(self, document_id: Column) -> Column:
         return F.pmod(F.xxhash64(document_id), F.lit(self.buckets)).cast("int")
 
-    def _commits(self, log: list, table: str) -> tuple[list[int], list[int]]:
+    def _commits(self, log: list[Entry], table: str) -> tuple[list[int], list[int]]:
         """Commits whose rows are read, and those whose markers are."""
-        own = [e for e in log if e.target == table]
+        own = [e for e in log if e.table == table]
         base = max((e.commit for e in own if e.operation in _BASES), default=0)
         return ([e.commit for e in own if e.operation in _WITH_DATA and e.commit >= base],
                 [e.commit for e in own if e.operation in _WITH_MARKERS and e.commit > base])
