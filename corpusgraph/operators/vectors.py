@@ -134,7 +134,9 @@ def scoped_topk(queries: DataFrame, vectors: DataFrame, cosine: bool = True) ->
     ``queries``: query_id, document_id, k, embedding. A document is searched in shards of its chunk
     sequence, so one very large document is spread over many tasks.
     """
-    wanted = queries.filter("document_id is not null").select("query_id", "document_id", F.col("k").cast("int"), "embedding")
+    wanted = queries.filter("document_id IS NOT NULL AND embedding IS NOT NULL").select(
+        "query_id", "document_id", F.col("k").cast("int"), "embedding")
+    vectors = vectors.filter("embedding IS NOT NULL")
     blocked = _blocked(wanted, ["document_id"])
     sharded = vectors.select(
         "document_id", "chunk_id", F.floor(F.col("chunk_seq") / SHARD_ROWS).alias("shard"), "embedding"
@@ -171,8 +173,8 @@ def corpus_topk(queries: DataFrame, vectors: DataFrame, cosine: bool = True) ->
     Up to ``BROADCAST_QUERIES`` questions go to every task, and vectors are searched where they are
     read. More questions are matched in blocks against hashed shards of vectors.
     """
-    wanted = queries.select("query_id", F.col("k").cast("int").alias("k"), "embedding")
-    points = vectors.select("chunk_id", "embedding")
+    wanted = queries.filter("embedding IS NOT NULL").select("query_id", F.col("k").cast("int").alias("k"), "embedding")
+    points = vectors.filter("embedding IS NOT NULL").select("chunk_id", "embedding")
     if wanted.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
         return _ranked(_search_in_place(wanted, points, cosine))
     shards = max(1, -(-points.count() // SHARD_ROWS))

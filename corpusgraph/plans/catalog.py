@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import extraction, text
 from ..functions.labels import canonical_label, relation_type_or_null
-from ..operators import chunking, context, dedup, entities, graph, ordering, retrieval, selection, vectors
+from ..operators import chunking, context, dedup, entities, graph, ordering, retrieval, selection, vector_index, vectors
 from ..options import Options
 from ..session import cut_lineage, run_table
 from ..sources import units as sources
@@ -696,6 +697,26 @@ def post_filtered_topk(spark: SparkSession, sf: str) -> DataFrame:
     return vectors.post_filtered_topk(asked, points, cosine=False)
 
 
+@query
+def indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """Search through the inverted file, by every twentieth vector: hits of each question, whether they are in order and rightly
+    scored, and whether at least 0.9 of the exact hits of all questions were found."""
+    asked, points = _points(spark, sf)
+    asked, k = asked.filter("query_id % 20 = 0").withColumn("k", F.lit(10)), 10
+    found = run_table(vector_index.build_index(points, k).search(asked, cosine=False), "found")
+    exact = run_table(vectors.corpus_topk(asked, points, cosine=False), "exact")
+    wide = vectors.corpus_topk(asked.withColumn("k", F.lit(200)), points, cosine=False)
+    true = wide.select("query_id", "chunk_id", F.col("score").alias("true_score"), F.col("rank").alias("true_rank"))
+    order = W.partitionBy("query_id").orderBy("true_rank")
+    judged = found.join(true, ["query_id", "chunk_id"], "left").withColumn("place", F.row_number().over(order))
+    by_query = judged.groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("n_hits"),
+        F.bool_and((F.col("true_score").isNull() | (F.col("score") == F.col("true_score"))) & (
+            F.col("true_rank").isNull() | (F.col("place") == F.col("rank")))).alias("right"))
+    share = vector_index.recall(found, exact).agg((F.sum("n_found") / F.sum("n_exact") >= 0.9).alias("enough"))
+    return by_query.withColumn("enough", share.select("enough").scalar())
+
+
 def _filtered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Benchmark items as questions over documents; the first word must occur in the text."""
     from ..functions.similarity import HashedCounts

@@ -649,6 +649,8 @@ FROM facts WHERE chunk_seq % 2 = 1 OR chunk_seq % 4 = 0"""
     sql["default_scope"] = """WITH j AS (SELECT CAST(o_orderkey AS VARCHAR) AS job FROM orders WHERE o_orderstatus = 'F' ORDER BY o_orderdate DESC, CAST(o_orderkey AS VARCHAR) DESC LIMIT 1)
 SELECT c_custkey AS query_id, CASE WHEN c_acctbal < 0 THEN NULL ELSE coalesce(CASE WHEN c_mktsegment <> 'BUILDING' THEN CAST(c_custkey AS VARCHAR) END, (SELECT job FROM j)) END AS document_id FROM customer"""
     sql["vector_topk"] = _topk("true", 5)
+    sql["indexed_topk"] = """SELECT vec_id AS query_id, least(10, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL)) AS n_hits, true AS "right", true AS enough
+FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL"""
     sql["scoped_topk"] = _topk("q.label = v.label", 5)
     sql["post_filtered_topk"] = f"""WITH wide AS ({_topk("true", 75)})
 SELECT query_id, chunk_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM wide JOIN embeddings q ON q.vec_id = query_id JOIN embeddings v ON CAST(v.vec_id AS VARCHAR) = chunk_id
