@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extraction, text
 from ..functions.labels import canonical_label, relation_type_or_null
-from ..operators import chunking, context, dedup, entities, graph, ordering, retrieval, selection, vector_index, vectors
+from ..operators import chunking, context, dedup, entities, graph, keyword_index, ordering, retrieval, selection, vector_index, vectors
 from ..options import Options
 from ..session import cut_lineage, run_table
 from ..sources import units as sources
@@ -753,9 +753,7 @@ def answers_from_documents(spark: SparkSession, sf: str) -> DataFrame:
     return pipeline.answer_questions(asked, run_table(vectors.vector_rows(chunks), "vectors"), stored)
 
 
-@query
-def keyword_any(spark: SparkSession, sf: str) -> DataFrame:
-    """The first two words of each benchmark item as keywords, in the documents of one language each."""
+def _asked_words(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     words = text.word_tokens("text")
     asked = c.table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"), F.slice(words, 1, 2).alias("terms"), F.lit(20).alias("k"),
@@ -763,7 +761,21 @@ def keyword_any(spark: SparkSession, sf: str) -> DataFrame:
     )
     docs = c.table(spark, sf, "documents").select(
         F.col("lang").alias("document_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_seq"), "text")
-    return retrieval.keyword_hits(asked, docs).select("query_id", "chunk_id", "rank")
+    return asked, docs
+
+
+@query
+def keyword_any(spark: SparkSession, sf: str) -> DataFrame:
+    """The first two words of each benchmark item as keywords, in the documents of one language each."""
+    return retrieval.keyword_hits(*_asked_words(spark, sf)).select("query_id", "chunk_id", "rank")
+
+
+@query
+def indexed_keywords(spark: SparkSession, sf: str) -> DataFrame:
+    """The same by an index of gram postings over all texts."""
+    asked, docs = _asked_words(spark, sf)
+    found = keyword_index.build_keyword_index(docs).keyword_hits(asked)
+    return found.select("query_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "rank")
 
 
 @query

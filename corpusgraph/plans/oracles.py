@@ -672,6 +672,7 @@ WHERE contains(lower(substr(dt.text, 1, 2000)), keyword) WINDOW o AS (PARTITION
 SELECT query_id, doc_id AS chunk_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS INTEGER) AS rank
 FROM q JOIN documents d ON d.lang = q.lang AND len(list_filter(terms, lambda w: length(w) >= 2 AND NOT contains(lower(d.text), w))) = 0
 WHERE len(list_filter(terms, lambda w: length(w) >= 2)) > 0 QUALIFY rank <= 20"""
+    sql["indexed_keywords"] = sql["keyword_any"]
     sql["keyword_and"] = r("SELECT query_id, chunk_id, CAST(rank AS INTEGER) AS rank FROM kw")
     sql["hybrid_hits"] = r("SELECT query_id, chunk_id, score, rank FROM hits")
     sql["hit_chunk_ids"] = r("SELECT query_id, rank, chunk_id FROM hits")
