@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import Embedder, HashedCounts
 from ..functions.text import clip, strip, text_or_empty
 from ..options import DEFAULTS, Options
+from ..session import run_table
 from .dedup import prefix_dedup
 from .graph import GraphTables
 from .skew import salted_join
@@ -103,7 +104,8 @@ def keyword_hits(queries: DataFrame, vectors: DataFrame, opts: Options = DEFAULT
 
 def vector_hits(queries: DataFrame, vectors: DataFrame, embedder: Embedder | None = None, cosine: bool = True) -> DataFrame:
     """Best k chunks of each question by vector, inside its document where it has one."""
-    embedded = (embedder or HashedCounts()).encode(queries, "query", "embedding")
+    # Read by both searches, and several times in each.
+    embedded = run_table((embedder or HashedCounts()).encode(queries, "query", "embedding"), "embedded-questions")
     unscoped = corpus_topk(embedded.filter("document_id is null"), vectors, cosine)
     return unscoped.unionByName(scoped_topk(embedded, vectors, cosine))
 
@@ -192,12 +194,15 @@ def context_chunks(hits: DataFrame, vectors: DataFrame, g: GraphTables, opts: Op
     A chunk is in the graph when it mentions an entity. Repeats by the start of the text are dropped,
     and ``position`` counts what is left.
     """
-    in_graph = g.chunks.join(g.mentions.select("chunk_id").distinct(), "chunk_id", "left_semi")
+    # The hits cut the other tables down before anything else is done with them.
+    asked = hits.select("chunk_id").distinct()
+    mentioned = g.mentions.select("chunk_id").join(asked, "chunk_id", "left_semi")
+    in_graph = g.chunks.join(asked, "chunk_id", "left_semi").join(mentioned, "chunk_id", "left_semi")
     graph_side = in_graph.select(
         "chunk_id", F.col("text").alias("g_text"), F.col("source").alias("g_source"), F.col("page").alias("g_page"),
         F.lit(True).alias("in_graph"),
     )
-    vector_side = vectors.select(
+    vector_side = vectors.join(asked, "chunk_id", "left_semi").select(
         "chunk_id", clip("text", opts.vector_text_chars).alias("v_text"), F.col("source").alias("v_source"),
         F.col("page").alias("v_page"),
     )

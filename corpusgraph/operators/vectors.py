@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import Embedder, HashedCounts
 from ..functions.text import clip
 from ..options import DEFAULTS, Options
+from ..session import run_table
 from .skew import salted_join
 
 # Vectors in a shard and in a task's group, questions in a block, and questions that may be sent to
@@ -223,17 +224,19 @@ def _search_in_place(wanted: DataFrame, points: DataFrame, cosine: bool) -> Data
 def filtered_topk(queries: DataFrame, vectors: DataFrame, cosine: bool = True) -> DataFrame:
     """Best k vectors whose text holds the question's ``keyword`` (any case): filter first, so the result is exact.
 
-    The asked keywords meet every text in blocks of ``BLOCK_KEYWORDS``; the texts that hold a keyword are the scope in
-    which its questions are searched.
+    The asked keywords meet every text in blocks of ``BLOCK_KEYWORDS``, without embeddings; the texts that hold a keyword
+    are the scope in which its questions are searched, and get their embeddings then, once.
     """
-    asked = queries.select("query_id", F.lower("keyword").alias("document_id"), "k", "embedding").filter("document_id is not null")
+    asked = run_table(
+        queries.select("query_id", F.lower("keyword").alias("document_id"), "k", "embedding").filter("document_id is not null"), "asked")
     words = asked.select(F.col("document_id").alias("word")).distinct()
     blocks = max(1, -(-words.count() // BLOCK_KEYWORDS))
     lists = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(blocks)).cast("int").alias("list")).agg(F.collect_list("word").alias("words"))
-    texts = vectors.select("chunk_id", "embedding", F.lower("text").alias("low"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    held = texts.join(lists, F.col("block") == F.col("list")).select(
-        "chunk_id", "embedding", F.explode(F.filter("words", lambda w: F.contains(F.col("low"), w))).alias("document_id"))
-    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, vectors.count())))
+    texts = vectors.select("chunk_id", F.lower("text").alias("low"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    pairs = run_table(texts.join(lists, F.col("block") == F.col("list")).select(
+        "chunk_id", F.explode(F.filter("words", lambda w: F.contains(F.col("low"), w))).alias("document_id")), "keyword-pairs")
+    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(max(1, pairs.count())))
+    held = run_table(pairs.join(vectors.select("chunk_id", "embedding"), "chunk_id"), "keyword-vectors")
     return scoped_topk(asked, held.withColumn("chunk_seq", spread), cosine)
 
 

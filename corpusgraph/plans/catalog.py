@@ -387,7 +387,7 @@ def label_forms(spark: SparkSession, sf: str) -> DataFrame:
     """Label and relation type normalisation over names of every kind."""
     part = c.table(spark, sf, "part")
     odd = F.concat(F.lit("  The "), "p_name", F.lit(", "), "p_type", F.lit("..."))
-    kind = F.concat(F.substring("p_type", 1, 3), F.lit(" used-for "), "p_brand")
+    kind = F.concat("p_type", F.lit(" used-for "), "p_brand")
     return part.select(
         "p_partkey", canonical_label("p_name").alias("name_label"), canonical_label("p_type").alias("type_label"),
         canonical_label(odd).alias("odd_label"), relation_type_or_null(kind).alias("rel_type"),

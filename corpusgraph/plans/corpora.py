@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure, cut_lineage, spread
+from ..session import configure, cut_lineage, run_table, spread
 from ..sources.units import line_units
 from ..operators import entities, graph
 from ..operators.vectors import vector_rows
@@ -111,7 +111,7 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
 def retrieved(spark: SparkSession, sf: str) -> pipeline.Retrieved:
     return kept(
         "retrieved", spark, sf,
-        lambda: pipeline.retrieve(questions(spark, sf), fact_vectors(spark, sf), fact_graph(spark, sf)),
+        lambda: pipeline.retrieve(questions(spark, sf), run_table(fact_vectors(spark, sf), "vectors"), fact_graph(spark, sf)),
     )
 
 

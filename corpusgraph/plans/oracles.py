@@ -405,7 +405,7 @@ reached(document_id, a, b) AS (
 def _part_labels() -> str:
     steps = (
         "parts AS (SELECT p_partkey, p_name, p_type, p_brand, '  The ' || p_name || ', ' || p_type || '...' AS odd, "
-        "substr(p_type, 1, 3) || ' used-for ' || p_brand AS kind FROM part),"
+        "p_type || ' used-for ' || p_brand AS kind FROM part),"
         + labels("parts", "l1", "p_name", "name_label") + "," + labels("l1", "l2", "p_type", "type_label") + ","
         + labels("l2", "l3", "odd", "odd_label")
     )
