@@ -95,11 +95,7 @@ def communities(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 def number_communities(placed: DataFrame) -> DataFrame:
     """``document_id, graph_key, root`` (the component's least key) to numbers from 0 in the order of roots."""
-    # Rank by the part of the key after the document, so that ranges of first letters share the work.
-    roots = placed.select("document_id", "root").distinct().withColumn(
-        "label", F.expr("substring(root, length(document_id) + 3)")
-    )
-    ranked = with_text_rank(roots, ["document_id"], "label", "community_id")
+    ranked = with_text_rank(placed.select("document_id", "root").distinct(), ["document_id"], "root", "community_id")
     numbered = ranked.select("document_id", "root", F.col("community_id").cast("int").alias("community_id"))
     return salted_join(placed, numbered, ["document_id", "root"], ["graph_key"]).select("document_id", "graph_key", "community_id")
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import run_table
+
 WIDTH = 65536
 _RANGE = "__range"
 
@@ -86,19 +88,25 @@ def with_neighbour(
     )
 
 
-def with_text_rank(df: DataFrame, group: list[str], key: str, name: str, prefix: int = 4) -> DataFrame:
-    """Add the 0-based rank of a unique string key in its group, ranking inside key prefixes."""
-    ranged = df.withColumn("__prefix", F.substring(F.col(key), 1, prefix))
-    keys = [*group, "__prefix"]
-    before = W.partitionBy(*group).orderBy("__prefix").rowsBetween(W.unboundedPreceding, -1)
+def with_text_rank(df: DataFrame, group: list[str], key: str, name: str) -> DataFrame:
+    """Add the 0-based rank of a unique string key in its group.
+
+    Rows are dealt over partitions by sampled ranges of (group, key) and sorted there, so neither a large group nor a very
+    common start of keys meets in one task. A row's rank is its place in its partition's part of the group, and the sizes of the
+    group's parts in the partitions before: one row for each part, which are about as many as groups and partitions together.
+    The sorted rows are written, since ranges are sampled anew in each run.
+    """
+    placed = run_table(
+        df.repartitionByRange(*group, key).sortWithinPartitions(*group, key).withColumn("__id", F.monotonically_increasing_id()), "ranked")
+    ranged = placed.withColumn("__part", F.shiftright("__id", 33))
+    keys = [*group, "__part"]
+    before = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     offsets = (
-        ranged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-        .select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+        ranged.groupBy(*keys).agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+        .select(*keys, "__first", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     )
-    local = F.row_number().over(W.partitionBy(*keys).orderBy(key))
     return (
-        ranged.withColumn("__local", local)
-        .join(offsets, keys)
-        .withColumn(name, F.col("__offset") + F.col("__local") - 1)
-        .drop("__prefix", "__local", "__offset")
+        ranged.join(offsets, keys)
+        .withColumn(name, F.col("__offset") + F.col("__id") - F.col("__first"))
+        .drop("__id", "__part", "__first", "__offset")
     )
