@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import configure, cut_lineage, run_table, spread
+from ..session import configure, run_table, spread
 from ..sources.units import line_units
 from ..operators import entities, graph
 from ..operators.vectors import vector_rows
@@ -78,7 +78,7 @@ def fact_units(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fact_extraction(spark: SparkSession, sf: str) -> DataFrame:
-    return kept("extraction", spark, sf, lambda: cut_lineage(entities.extract_chunks(fact_chunks(spark, sf))))
+    return kept("extraction", spark, sf, lambda: run_table(entities.extract_chunks(fact_chunks(spark, sf)), "extraction"))
 
 
 def fact_graph(spark: SparkSession, sf: str) -> graph.GraphTables:
@@ -108,10 +108,19 @@ def questions(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def stored_facts(spark: SparkSession, sf: str) -> graph.GraphTables:
+    """The graph tables of the facts as a store holds them: written."""
+    def write() -> graph.GraphTables:
+        g = fact_graph(spark, sf)
+        return graph.GraphTables(*(run_table(getattr(g, t), t) for t in ("chunks", "entities", "mentions", "relationships")))
+
+    return kept("stored-facts", spark, sf, write)
+
+
 def retrieved(spark: SparkSession, sf: str) -> pipeline.Retrieved:
     return kept(
         "retrieved", spark, sf,
-        lambda: pipeline.retrieve(questions(spark, sf), run_table(fact_vectors(spark, sf), "vectors"), fact_graph(spark, sf)),
+        lambda: pipeline.retrieve(questions(spark, sf), run_table(fact_vectors(spark, sf), "vectors"), stored_facts(spark, sf)),
     )
 
 
