@@ -3,8 +3,8 @@
 Only the structural step looks across rows. Its token rule (a block ends where the next unit would
 exceed the limit) depends on everything before it in the document, so it is computed as a scan:
 ranges of units become small functions from "tokens carried in" to "tokens carried out", ranges are
-composed in two levels, and the carried value is then handed back down. No task ever holds more than
-one range of a document, however large the document is.
+composed in a tree with as many levels as the unit numbers need, and the carried value is then handed back down. No row
+ever holds more than one range of a document, however large the document and however sparse its numbers are.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.similarity import AdjacentSimilarity, LexicalSimilarity
 from ..functions.text import is_blank, is_section_header, let, salient_terms, sentences, strip, token_estimate
 from ..options import DEFAULTS, Options
+from ..session import run_table
 from .ordering import with_offset
 
 # Units in a range, and ranges in a group of ranges. A range is longer than any block of small units.
@@ -122,9 +123,10 @@ def block_starts(units: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
             ),
         ).alias("items"),
     )
-    lowest = items.select(
+    # Narrow rows, read at both ends of the scan.
+    items = run_table(items, "block-items")
+    members = items.select(
         "document_id",
-        F.floor(F.col("range") / RANGE).alias("group"),
         F.struct(
             F.col("range").alias("ordinal"), "first_page", "last_page",
             _function(
@@ -133,26 +135,32 @@ def block_starts(units: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
             ).alias("fn"),
         ).alias("member"),
     )
-    groups = lowest.groupBy("document_id", "group").agg(F.sort_array(F.collect_list("member")).alias("members"))
-    tops = groups.select(
-        "document_id",
-        F.struct(
-            F.col("group").alias("ordinal"),
-            F.get("members", F.lit(0))["first_page"].alias("first_page"),
-            F.element_at("members", -1)["last_page"].alias("last_page"),
-            _function(
-                F.col("group"), F.lit(False), lambda s: _compose(F.col("members"), s, limit), limit
-            ).alias("fn"),
-        ).alias("top"),
-    ).groupBy("document_id").agg(F.sort_array(F.collect_list("top")).alias("tops"))
-    group_entry = tops.select(
-        "document_id",
-        F.inline(_entries(F.col("tops"), F.lit(0), F.lit(None).cast("int"), limit)).alias("group", "entry", "page"),
-    )
-    range_entry = groups.join(group_entry, ["document_id", "group"]).select(
-        "document_id",
-        F.inline(_entries(F.col("members"), F.col("entry"), F.col("page"), limit)).alias("range", "entry", "page"),
-    )
+    # As many levels as the largest unit number asks for: then all of a document is in one group, at most RANGE members long.
+    left, levels = items.agg(F.max("range")).first()[0] or 0, []
+    while left or not levels:
+        groups = run_table(members.groupBy("document_id", F.floor(F.col("member.ordinal") / RANGE).alias("group")).agg(
+            F.sort_array(F.collect_list("member")).alias("members")), "block-groups")
+        levels.append(groups)
+        members = groups.select(
+            "document_id",
+            F.struct(
+                F.col("group").alias("ordinal"),
+                F.get("members", F.lit(0))["first_page"].alias("first_page"),
+                F.element_at("members", -1)["last_page"].alias("last_page"),
+                _function(
+                    F.col("group"), F.lit(False), lambda s: _compose(F.col("members"), s, limit), limit
+                ).alias("fn"),
+            ).alias("member"),
+        )
+        left //= RANGE
+    entry = levels[-1].select(
+        "document_id", F.col("group").alias("range"), F.lit(0).alias("entry"), F.lit(None).cast("int").alias("page"))
+    for groups in reversed(levels):
+        entry = groups.join(entry.withColumnRenamed("range", "group"), ["document_id", "group"]).select(
+            "document_id",
+            F.inline(_entries(F.col("members"), F.col("entry"), F.col("page"), limit)).alias("range", "entry", "page"),
+        )
+    range_entry = entry
     found = items.join(range_entry.select("document_id", "range", "entry"), ["document_id", "range"]).select(
         "document_id", "range", _starts(F.col("items"), F.col("entry"), limit).alias("starts")
     )

@@ -95,3 +95,30 @@ def test_coherence_floor_drops(spark):
     opts = Options(similarity_threshold=0.0, coherence_min=0.22)
     stats = chunking.chunk_stats(chunking.split_blocks(chunking.structural_blocks(spark.createDataFrame(rows, UNITS)), opts)).first()
     assert (stats.sized, stats.kept, stats.dropped) == (1, 0, 1)
+
+
+@pytest.mark.parametrize("stride, width", [(1, 512), (1_000_003, 512), (1, 3), (7, 2)])
+def test_blocks_do_not_depend_on_unit_numbers(spark, monkeypatch, stride, width):
+    """Sparse numbers and many levels give the blocks of a plain pass; no row is longer than a range."""
+    import random
+
+    rng = random.Random(2)
+    rows = []
+    for doc in range(3):
+        for i in range(90):
+            words = " ".join(["word"] * rng.choice([3, 40, 90, 200]))
+            rows.append((str(doc), i, i // 30 + 1, "s", "text", words if rng.random() > 0.05 else "# Header here"))
+    want = {}
+    for doc, seq, page, _, _, body in rows:
+        blocks = want.setdefault(doc, [])
+        tokens, header = max(1, len(body) // 4), body.startswith("#")
+        if not blocks or page != blocks[-1][1] or header or blocks[-1][2] + tokens > 400:
+            blocks.append([seq, page, 0, 0])
+        blocks[-1][2] += tokens
+        blocks[-1][3] += 1
+    monkeypatch.setattr(chunking, "RANGE", width)
+    units = spark.createDataFrame([(d, s * stride, *rest) for d, s, *rest in rows], "document_id string, unit_seq bigint, page int, source string, type string, text string")
+    got = {}
+    for r in chunking.structural_blocks(units).orderBy("block_seq").collect():
+        got.setdefault(r.document_id, []).append([r.block_seq // stride, r.page, r.n_units])
+    assert got == {d: [[b[0], b[1], b[3]] for b in blocks] for d, blocks in want.items()}
