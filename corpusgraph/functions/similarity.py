@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Protocol
 
+import numpy as np
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from .text import ColumnOrName, as_col, let, word_tokens
 
@@ -118,14 +121,35 @@ class HashedCounts:
 
 
 class StoredVectors:
-    """Vectors computed beforehand, joined by key."""
+    """Vectors computed beforehand, joined by key (a text hash, a chunk id); null where there is none.
+
+    Rows without a key get no vector and take no part in the join, where they would all meet in one task.
+    """
 
     def __init__(self, table: DataFrame, key: str, vector: str = "embedding"):
-        self._table = table.select(F.col(key), F.col(vector).alias("__vector"))
+        self._table = table.select(F.col(key), F.col(vector).alias("__vector")).filter(F.col(key).isNotNull())
         self._key = key
 
     def encode(self, df: DataFrame, text: str = "text", output: str = "embedding") -> DataFrame:
-        return df.join(self._table, self._key, "left").withColumnRenamed("__vector", output)
+        keyed = df.filter(F.col(self._key).isNotNull()).join(self._table, self._key, "left").select(
+            *[F.col(c) for c in df.columns], F.col("__vector").alias(output))
+        kind = self._table.schema["__vector"].dataType
+        return keyed.unionByName(df.filter(F.col(self._key).isNull()).withColumn(output, F.lit(None).cast(kind)))
+
+
+class BatchedModel:
+    """A model that is loaded once in each worker and called on batches of texts.
+
+    ``load`` gives a function from an array of texts to a matrix of floats, one row each; it runs in the worker, so
+    models need not be shipped. Null texts are not shown to the model as such and get a null vector.
+    """
+
+    def __init__(self, load: Callable[[], Callable[[np.ndarray], np.ndarray]], batch_size: int = 512):
+        self._load, self._batch_size = load, batch_size
+
+    def encode(self, df: DataFrame, text: str = "text", output: str = "embedding") -> DataFrame:
+        predict = predict_batch_udf(self._load, return_type=ArrayType(FloatType()), batch_size=self._batch_size)
+        return df.withColumn(output, F.when(F.col(text).isNotNull(), predict(F.coalesce(F.col(text), F.lit("")))))
 
 
 class ModelEmbedder:

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import extraction, text
+from ..functions.similarity import BatchedModel, StoredVectors
 from ..functions.labels import canonical_label, relation_type_or_null
 from ..operators import chunking, context, dedup, entities, graph, keyword_index, ordering, retrieval, selection, vector_index, vectors
 from ..options import Options
@@ -728,6 +729,47 @@ def indexed_topk(spark: SparkSession, sf: str) -> DataFrame:
     return by_query.withColumn("enough", share.select("enough").scalar())
 
 
+def _word_counter():
+    """Stands for a model: counts of words hashed into 64 places."""
+    import hashlib
+    import re
+
+    import numpy as np
+
+    words, places = re.compile(r"[^\W_]+"), {}
+
+    def predict(texts: np.ndarray) -> np.ndarray:
+        found = np.zeros((len(texts), 64), np.float32)
+        for row, t in enumerate(texts):
+            for word in words.findall(t.lower()):
+                if word not in places:
+                    places[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64
+                found[row, places[word]] += 1
+        return found
+
+    return predict
+
+
+@query
+def model_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of a model called on batches; the orders of one status have no text."""
+    facts = c.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("chunk_seq"),
+        F.when(F.col("o_orderstatus") != "P", c.fact_text(F.col("o_orderkey"), F.col("o_orderdate"))).alias("text"))
+    found = BatchedModel(_word_counter).encode(facts)
+    total = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x).cast("bigint")
+    places = F.aggregate(F.transform("embedding", lambda x, i: x * i), F.lit(0.0), lambda acc, x: acc + x).cast("bigint")
+    return found.select("chunk_seq", total.alias("n_words"), places.alias("places"))
+
+
+@query
+def stored_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents with the vectors stored for them; some have no key and some no vector."""
+    docs = c.table(spark, sf, "documents").select("doc_id", F.when(F.col("lang") != "de", F.col("doc_id")).alias("vec_id"))
+    found = StoredVectors(c.table(spark, sf, "embeddings"), "vec_id").encode(docs)
+    return found.select("doc_id", F.round(F.get("embedding", F.lit(3)).cast("double"), 6).alias("fourth"))
+
+
 def _filtered(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Benchmark items as questions over documents; the first word must occur in the text."""
     from ..functions.similarity import HashedCounts

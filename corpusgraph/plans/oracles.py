@@ -659,6 +659,12 @@ SELECT c_custkey AS query_id, CASE WHEN c_acctbal < 0 THEN NULL ELSE coalesce(CA
     sql["vector_topk"] = _topk("true", 5)
     sql["indexed_topk"] = """SELECT vec_id AS query_id, least(10, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL)) AS n_hits, true AS "right", true AS enough
 FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL"""
+    sql["model_vectors"] = f"""WITH {FACTS}, w AS (SELECT chunk_seq, unnest({tokens('text')}) AS t FROM facts),
+n AS (SELECT chunk_seq, count(*) AS n_words, CAST(sum(CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 64) AS BIGINT) AS places FROM w GROUP BY 1)
+SELECT o_orderkey AS chunk_seq, CASE WHEN o_orderstatus <> 'P' THEN n_words END AS n_words, CASE WHEN o_orderstatus <> 'P' THEN places END AS places
+FROM orders JOIN n ON n.chunk_seq = o_orderkey"""
+    sql["stored_vectors"] = """SELECT doc_id, round(embedding[4]::DOUBLE, 6) AS fourth FROM documents d
+LEFT JOIN embeddings e ON d.doc_id = e.vec_id AND d.lang <> 'de'"""
     sql["scoped_topk"] = _topk("q.label = v.label", 5)
     sql["post_filtered_topk"] = f"""WITH wide AS ({_topk("true", 75)})
 SELECT query_id, chunk_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM wide JOIN embeddings q ON q.vec_id = query_id JOIN embeddings v ON CAST(v.vec_id AS VARCHAR) = chunk_id
