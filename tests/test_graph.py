@@ -81,4 +81,6 @@ def test_clustered_entities_keep_all_when_few(spark):
     scores = selection.entity_scores(entities.mention_rows(found), entities.relation_rows(found))
     assert selection.clustered_entities(scores, Options(max_entities=100)).count() == scores.count()
     few = selection.clustered_entities(scores, Options(max_entities=3))
-    assert 1 <= few.count() <= 3
+    by_document = {r.document_id: r.n for r in few.groupBy("document_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(by_document) == {r[0] for r in scores.select("document_id").distinct().collect()}
+    assert all(1 <= n <= 3 for n in by_document.values())
