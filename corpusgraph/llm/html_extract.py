@@ -11,7 +11,10 @@ have default weights.
 The fit uses at most ``LABELLED_PAGES`` pages (those with the smallest id hashes). All pages are extracted whole.
 
 Defined results: null or empty html, or html without words outside the elements above, gives an empty text. An
-element that is not closed ends with its parent. A tag that is cut off at the end of the page is dropped. Rows with
+element that is not closed ends with its parent; a button, selection, picture, player or the like that is not closed
+ends with its parent or at the next block tag, whichever comes first. Scripts, styles, titles and text fields run to
+their closing tag as in browsers, and to the next block tag where the page has no such tag left. A comment without an
+end takes the rest of the page, as in browsers. A tag that is cut off at the end of the page is dropped. Rows with
 one id are extracted alone. Other columns are ignored, whatever their names.
 """
 
@@ -22,6 +25,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,12 +41,20 @@ INSIDE = "~"
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|title|svg|math|iframe|object|select|textarea|button|canvas|audio|video)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|</?[a-zA-Z][^<>]*(?:>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+# Their content is no markup.
+RAW_TEXT = frozenset("script style textarea title".split())
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW_TEXT}
+# Never part of the text, whole elements at once.
+HIDDEN = RAW_TEXT | frozenset("noscript template svg math iframe object select button canvas audio video".split())
+BLOCKS = frozenset(
+    "address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
+    "header hr li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})\b", re.I)
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike "
     "strong sub sup time tt u var wbr".split())
@@ -83,6 +95,64 @@ def _kind(tag: str, attributes: dict[str, str], closing: bool) -> str:
     return ("/" if closing else "") + tag + ("." + named[0].lower() if named else "")
 
 
+class _Tag(NamedTuple):
+    start: int
+    end: int
+    name: str
+    closing: bool
+    alone: bool
+    rest: str
+
+
+def _tags(page: str) -> list[_Tag]:
+    """The tags of a page in order. The element of a raw text is one tag of its own."""
+    tags: list[_Tag] = []
+    at, endless = 0, set()
+    while m := _MARKUP.search(page, at):
+        at = m.end()
+        name = (m[2] or "").lower()
+        alone = name in VOID or (m[3] or "").endswith("/")
+        if name in RAW_TEXT and not m[1] and not alone:
+            # A search that found no end is not made again.
+            end = None if name in endless else _RAW_END[name].search(page, at)
+            if end is None:
+                endless.add(name)
+                block = _BLOCK_TAG.search(page, at)
+                at = block.start() if block else len(page)
+            else:
+                at = end.end()
+            alone = True
+        tags.append(_Tag(m.start(), at, name, bool(m[1]), alone, m[3] or ""))
+    return tags
+
+
+def _ends(tags: list[_Tag]) -> tuple[dict[int, int], dict[int, int]]:
+    """For opening tags of hidden elements: their closing tag, or else the tag that ends them with their parent."""
+    closed: dict[int, int] = {}
+    ended: dict[int, int] = {}
+    stack: list[int] = []
+    open_now: Counter[str] = Counter()
+    for i, tag in enumerate(tags):
+        if not tag.name or tag.alone:
+            continue
+        if not tag.closing:
+            if tag.name == "body":
+                ended.update((j, i) for j in stack if tags[j].name in HIDDEN)
+                stack, open_now = [], Counter()
+            stack.append(i)
+            open_now[tag.name] += 1
+        elif open_now[tag.name]:
+            while True:
+                j = stack.pop()
+                open_now[tags[j].name] -= 1
+                same = tags[j].name == tag.name
+                if tags[j].name in HIDDEN:
+                    (closed if same else ended)[j] = i
+                if same:
+                    break
+    return closed, ended
+
+
 def parts_of(page: str, by_name: bool = True) -> list[tuple[str, str, int, bool]]:
     """``(tag kind or "", text, block, aside)`` of the markup and text of a page, in order.
 
@@ -90,38 +160,56 @@ def parts_of(page: str, by_name: bool = True) -> list[tuple[str, str, int, bool]
     """
     out: list[tuple[str, str, int, bool]] = []
     stack: list[tuple[str, bool, str]] = []
-    asides = block = at = 0
-    for m in _MARKUP.finditer(page):
-        if m.start() > at:
-            out.append(("", page[at:m.start()], block, asides > 0))
-        at = m.end()
-        tag = (m[3] or m[1] or "").lower()
-        if not tag or m[1]:
+    open_now: Counter[str] = Counter()
+    tags = _tags(page)
+    closed, ended = _ends(tags) if any(t.name in HIDDEN for t in tags) else ({}, {})
+    asides = block = at = i = 0
+    while i < len(tags):
+        tag = tags[i]
+        name, here = tag.name, i
+        if tag.start > at:
+            out.append(("", page[at:tag.start], block, asides > 0))
+        at = tag.end
+        i += 1
+        if name in HIDDEN:
+            if tag.closing or tag.alone:
+                continue
+            if here in closed:
+                i = closed[here] + 1
+                at = tags[i - 1].end
+            else:
+                last = ended.get(here, len(tags))
+                while i < last and tags[i].name not in BLOCKS:
+                    i += 1
+                at = tags[i].start if i < len(tags) else len(page)
+            continue
+        if not name:
             continue
-        if tag == "br":
+        if name == "br":
             out.append(("", " ", block, asides > 0))
             continue
-        closing = bool(m[2])
-        if tag not in INLINE:
+        if name not in INLINE:
             block += 1
-        if tag in VOID or m[4].endswith("/"):
-            out.append(((INSIDE if asides else "") + tag, "", block, asides > 0))
+        if tag.alone:
+            out.append(((INSIDE if asides else "") + name, "", block, asides > 0))
             continue
-        if closing:
-            if any(name == tag for name, _, _ in stack):
+        if tag.closing:
+            if open_now[name]:
                 while True:
-                    name, aside, kind = stack.pop()
+                    opened, aside, kind = stack.pop()
+                    open_now[opened] -= 1
                     asides -= aside
-                    if name == tag:
+                    if opened == name:
                         break
                 out.append(((INSIDE if asides else "") + "/" + kind, "", block, asides > 0))
             continue
-        attributes = _attributes(m[4])
-        aside = _is_aside(tag, attributes, m[4], by_name)
-        if tag == "body":
-            stack, asides = [], 0
-        kind = _kind(tag, attributes, False)
-        stack.append((tag, aside, kind))
+        attributes = _attributes(tag.rest)
+        aside = _is_aside(name, attributes, tag.rest, by_name)
+        if name == "body":
+            stack, asides, open_now = [], 0, Counter()
+        kind = _kind(name, attributes, False)
+        stack.append((name, aside, kind))
+        open_now[name] += 1
         asides += aside
         out.append(((INSIDE if asides else "") + kind, "", block, asides > 0))
     if at < len(page):
