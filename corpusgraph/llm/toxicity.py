@@ -1,7 +1,8 @@
 """Toxicity scores from a weighted lexicon, matched by Aho-Corasick over folded text.
 
-Folding lower-cases, replaces homoglyphs by the Latin letters they imitate, undoes digits and signs that stand for
-letters inside a word, and turns all that is no letter into blanks. Lexicon entries are beginnings of words; of
+Folding lower-cases, takes away accents and characters without a width, replaces homoglyphs by the Latin letters they
+imitate, undoes digits and signs that stand for letters inside a word, and turns all that is no letter into blanks. A
+word wholly of look-alikes may belong to another script: it stays, and its Latin form is matched besides. Lexicon entries are beginnings of words; of
 several entries at one place the longest counts. Their weights are smoothed log odds of document frequencies. A
 phrase of two words around an entry that labelled clean documents use more often is an exception: as the longer
 match it takes the entry's place, with weight zero. A text's score is a logistic function of its weight sum,
@@ -12,7 +13,7 @@ smallest id hashes), of which a quarter is held back from the lexicon for the fi
 shuffle over all whole texts. The lexicon has at most ``MAX_ENTRIES`` entries.
 
 Defined results: null or empty text has no match and scores like any text without matches. Several labels of one
-document count as toxic if one does. Without labels of both kinds, every score is the smoothed share of toxic
+document count as toxic if one does; of several rows with one id the smallest text is learned from, and all are scored. Without labels of both kinds, every score is the smoothed share of toxic
 labels. Null ids are never labelled. Other columns are ignored, whatever their names.
 """
 
@@ -20,11 +21,13 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,26 +41,51 @@ SHORTEST, LONGEST = 4, 12
 MIN_EXCEPTION_DOCS = 3
 
 # Letters of other scripts and the Latin letters that they look like.
-HOMOGLYPHS = dict(zip(
-    "абвгеёзіјкмнорстухѕԁԛԝһӏ" "αβεικνορτυχω",
-    "a6bree3ijkmhopctyxsdqwhl" "abeiknoptuxw"))
-_FULL_WIDTH = {0xFF41 + i: chr(97 + i) for i in range(26)} | {0xFF10 + i: chr(48 + i) for i in range(10)}
-_FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | _FULL_WIDTH
-_FOREIGN = re.compile("[" + "".join(map(chr, _FOLD)) + "]")
+HOMOGLYPHS = {
+    "а": "a", "б": "b", "в": "b", "г": "r", "е": "e", "з": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o",
+    "п": "n", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "ѕ": "s", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "ӏ": "l",
+    "α": "a", "β": "b", "γ": "y", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x",
+    "ω": "w",
+}
+_FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()}
+_ALIKE = re.compile("[" + "".join(HOMOGLYPHS) + r"\d@$!]*[" + "".join(HOMOGLYPHS) + "]")
+# Accents and characters without a width, once letters are taken apart.
+_MARKS = regex.compile(r"[\p{Mn}\p{Me}\p{Cf}]+")
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 _SIGN = re.compile(r"(?:(?<=[^\W\d_])|(?<![\w@$!]))[013457@$!]+(?=[^\W\d_])")
 _LATIN = re.compile(r"[a-z]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
+def _latin(text: str) -> str:
+    text = _SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
+    return _OTHER.sub("  ", text)
+
+
 def fold(text: str) -> str:
     """The folded text: words of letters, each with a blank of its own at both ends."""
+    return fold_both(text)[0]
+
+
+def fold_both(text: str) -> tuple[str, str]:
+    """The folded text, and the Latin forms of its words that consist of look-alikes alone (as a text of the same form).
+
+    Such a word may be a word of its own script, so it stays in the text as it is.
+    """
     text = text.lower()
-    if not text.isascii() and _FOREIGN.search(text):
-        # Words that are wholly of another script stay as they are.
-        text = re.sub(r"\w+", lambda m: m[0].translate(_FOLD) if _LATIN.search(m[0].translate(_FULL_WIDTH)) else m[0], text)
-    text = _SIGN.sub(lambda m: "".join(SIGNS[c] for c in m[0]), text)
-    return " " + _OTHER.sub("  ", text).strip() + " "
+    alike: list[str] = []
+    if not text.isascii():
+        text = _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()
+
+        def word(m: re.Match) -> str:
+            if _LATIN.search(m[0]):
+                return m[0].translate(_FOLD)
+            if _ALIKE.fullmatch(m[0]):
+                alike.append(m[0].translate(_FOLD))
+            return m[0]
+
+        text = re.sub(r"\w+", word, text)
+    return " " + _latin(text).strip() + " ", " " + _latin(" ".join(alike)).strip() + " "
 
 
 def held_out(column: str = "doc_id") -> Column:
@@ -140,8 +168,8 @@ def _sums(lexicon: dict[str, float], exceptions: list[str]):
         for batch in batches:
             total, words = [], []
             for text in strings(batch.column("text")).to_pylist():
-                folded = fold(text)
-                total.append(weight_sum(folded, automaton))
+                folded, alike = fold_both(text)
+                total.append(weight_sum(folded, automaton) + weight_sum(alike, automaton))
                 words.append(folded.count(" ") // 2)
             keep = [n for n in batch.schema.names if n != "text"]
             yield pa.RecordBatch.from_arrays(
@@ -194,6 +222,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = MAX_LABELLED)
     # The sample has at most ``limit`` ids.
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")
     part = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(4))
+    # A document with very many rows counts once, by its smallest text.
+    texts = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
     for_lexicon, for_fit = texts.filter(part > 0).select("text", "toxic"), texts.filter(part == 0).select("text", "toxic")
 
     def counts(run, floor) -> list:
