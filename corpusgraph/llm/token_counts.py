@@ -50,17 +50,27 @@ def _ids(header: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return u.view(np.int64), (last >> np.uint64(8)).astype(bool)
 
 
+def _check(separator: int, width: int) -> None:
+    if width not in (2, 4):
+        raise ValueError(f"ids have 2 or 4 bytes, not {width}")
+    if not 1 << _DIGIT <= separator < 1 << 8 * width:
+        raise ValueError(f"the separator {separator} must lie from {1 << _DIGIT} (values below are ids of documents) and fit {width} bytes")
+
+
 def _flat(path: str, separator: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path, ordinary=True)
-        end = np.array([separator], np.uint32)
+        end, limit = np.array([separator], np.uint32), 1 << 8 * width
         for batch in batches:
             texts = strings(batch.column("text"))
             ids = batch.column("doc_id")
             heads = _header(ids.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(ids.is_null()))
             for low, high in slices(texts):
                 parts = [x for n, text in enumerate(texts[low:high].to_pylist(), low) for x in (heads[n], encode.ids(text), end)]
-                flat = np.concatenate(parts).astype(f">u{width}").tobytes()
+                values = np.concatenate(parts)
+                if values.max() >= limit or np.count_nonzero(values == separator) != high - low:
+                    raise ValueError(f"the vocabulary of {path} has ids of more than {width} bytes or the separator {separator} itself")
+                flat = values.astype(f">u{width}").tobytes()
                 # The text writer ends the row with the separator's last byte.
                 yield pa.RecordBatch.from_arrays([pa.array([flat[:-1]], pa.binary())], names=["flat"])
     return run
@@ -72,6 +82,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str | None = None, sep
 
     The scan's partitions become the files, with no shuffle.
     """
+    _check(separator, width)
     closing = chr(separator & 0xFF)
     if ord(closing) >= 128:
         raise ValueError("the separator's last byte must be below 128")

@@ -264,6 +264,47 @@ def test_fit_uses_no_more_than_there_is():
     assert set(filled.values()) == {8}
 
 
+def test_toxicity_folds_marks_and_look_alikes():
+    words = lambda text: [side.split() for side in toxicity.fold_both(text)]
+    assert words("бigot") == [["bigot"], []]
+    assert words("νile") == [["vile"], []]
+    assert words("sc\u200bum sc\u00adum sćúm s\u0336c\u0336um ＳＣＵＭ") == [["scum"] * 5, []]
+    assert words("ѕсυм") == [["ѕсυм"], ["scum"]]
+    assert words("") == [[], []]
+    found = toxicity._automaton({"scum": 2.0}, [])
+    for text, want in (("ѕсυм", 2.0), ("scum", 2.0), ("мускул", 0.0), ("идиот", 0.0)):
+        assert sum(toxicity.weight_sum(t, found) for t in toxicity.fold_both(text)) == want
+
+
+def test_toxicity_sums_equal_a_search_of_every_entry(spark):
+    lexicon = {"idio": 1.0, "idiot": 2.0, "scum": 1.5, "scumbag": 3.0}
+    texts = ["idiots and scumbags", "ѕсυм idiotic clown", "clown fish idiot fish", "", None, "idiom scu scummy " * 300, "xidiot 5cum sc\u200bum"]
+
+    def brute(text):
+        total = 0.0
+        for side in toxicity.fold_both(text or ""):
+            words = side.split()
+            for n, word in enumerate(words):
+                if word == "idiot" and words[n + 1:n + 2] == ["fish"]:
+                    continue
+                hits = [e for e in lexicon if word.startswith(e)]
+                total += lexicon[max(hits, key=len)] if hits else 0.0
+        return total
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    got = rows.mapInArrow(toxicity._sums(lexicon, ["idiot fish"]), "n int, total double, words double").collect()
+    assert {r["n"]: r["total"] for r in got} == {n: brute(t) for n, t in enumerate(texts)}
+
+
+def test_token_files_reject_what_does_not_fit(spark):
+    from corpusgraph.llm.common import Scratch
+
+    docs = _frame(spark, [(1, "a")])
+    for options in ({"separator": 80}, {"separator": 70_000}, {"width": 3}):
+        with pytest.raises(ValueError):
+            token_counts.write_token_files(docs, Scratch(spark, "test-tokens").path(), **options)
+
+
 def test_toxicity_fold_and_exceptions():
     assert toxicity.fold("You 1D10T, ｓtuрid$$$ идиот").split() == ["you", "idiot", "stupid", "идиот"]
     found = toxicity._automaton({"idiot": 2.0, "clown": 1.0}, ["clown fish"])
@@ -324,6 +365,33 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><b
 <section id="comments"><p>I like this very very much indeed, great text</p></section><form>Sign <input> up</form><footer>&copy; all rights of the site</footer></body>"""
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<p>one two</p><button>go<p>three four five</p>", "one two\nthree four five"),
+    ("<p>one two</p><iframe src=x>go<p>three four five</p>", "one two\nthree four five"),
+    ("<p>one <span><button>go</span> two</p>", "one two"),
+    ("<div><select><option>q<option>r</div><p>three four</p>", "three four"),
+    ("<title>t<body><p>one two</p>", "one two"),
+    ("<script>a<p>b c d</p>", "b c d"),
+    ("<script>if (a<b) '<p>'</script><style>p</style><p>w w</p>", "w w"),
+    ("<p>x <button>y</button> z</p>", "x z"),
+    ("<noscript><p>turn it on</p></noscript><p>one two</p>", "one two"),
+    ("</button>a b<textarea>c", "a b"),
+    ("<title>a <select> <textarea> <b>" * 20_000 + "<p>one two</p>", "one two"),
+    ("<p>one two</p>" * 20_000, "\n".join(["one two"] * 20_000)),
+])
+def test_main_text_of_unclosed_and_long_pages(page, want):
+    assert html_extract.main_text(page, {}) == want
+
+
+def test_best_region_equals_brute_force():
+    rng = random.Random(8)
+    for _ in range(200):
+        scores = [rng.choice([-3.0, -1.0, -0.5, 0.0, 1.0, 2.0]) for _ in range(rng.randrange(12))]
+        low, high = html_extract.best_region(scores)
+        sums = [sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)]
+        assert sum(scores[low:high]) == max([0.0, *sums])
+
+
 def test_main_text():
     want = "The Head\nFirst bold & café line\nSecond link one.\nitem one\nitem two\nLast – part"
     assert html_extract.main_text(PAGE, {}) == want
