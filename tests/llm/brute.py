@@ -138,3 +138,62 @@ def whitening(vectors: list[tuple], k: int) -> tuple[int, dict, "np.ndarray", fl
     matrix = np.array([[float(sum(r[a] * r[b] for r in centred) / n) for b in range(d)] for a in range(d)])
     deviation = {i: sum((n * x[j] - sums[j]) ** 2 for j in range(d)) for i, x in kept}
     return n, deviation, np.linalg.eigvalsh(matrix)[::-1][:k], float(np.trace(matrix))
+
+
+def url_purities(rows, max_children, own_share, similar_z, prior):
+    """{(host, segments): (template, purity)} from rows (host, segments, label or None), by recursion over nodes."""
+    rows = [[h, list(s), list(s), y] for h, s, y in rows]
+
+    def rate(some):
+        return sum(1 for r in some if r[3] == 1), sum(1 for r in some if r[3] == 0)
+
+    def split(some, depth):
+        groups = {}
+        for r in some:
+            if len(r[2]) > depth:
+                groups.setdefault(r[2][depth], []).append(r)
+        return groups
+
+    def generalise(some, depth):
+        groups = split(some, depth)
+        total = sum(map(len, groups.values()))
+        if len(groups) > max_children:
+            for members in groups.values():
+                if len(members) < own_share * total:
+                    for r in members:
+                        r[2][depth] = "*"
+        for members in split(some, depth).values():
+            generalise(members, depth + 1)
+
+    out = {}
+
+    def judge(some, depth, up, counts):
+        for r in some:
+            out[r[0], tuple(r[1])] = ("/" + "/".join(r[2]), up)
+        groups = split(some, depth)
+        pg, pb = counts
+        alike = []
+        for members in groups.values():
+            g, b = rate(members)
+            n, rest, mean = g + b, pg + pb - g - b, (pg + 0.5) / (pg + pb + 1)
+            differs = n and rest and abs(g / n - (pg - g) / rest) >= similar_z * (mean * (1 - mean) * (1 / n + 1 / rest)) ** 0.5
+            if differs:
+                judge(members, depth + 1, (g + prior * up) / (n + prior), (g, b))
+            else:
+                alike.append(members)
+        if alike:
+            pooled = [r for members in alike for r in members]
+            if len(alike) > 1:
+                for r in pooled:
+                    r[2][depth] = "~"
+            g, b = rate(pooled)
+            judge(pooled, depth + 1, up if (g, b) == (pg, pb) else (g + prior * up) / (g + b + prior), (g, b))
+
+    g, b = rate(rows)
+    root = (g + 1) / (g + b + 2)
+    for host in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == host]
+        generalise(own, 0)
+        g, b = rate(own)
+        judge(own, 0, (g + prior * root) / (g + b + prior), (g, b))
+    return out

@@ -357,6 +357,48 @@ def test_impure_templates_are_blocked(spark):
     assert url_filter.judge_urls(empty, spark.createDataFrame([], "doc_id bigint, quality int")).collect() == []
 
 
+def test_templates_and_purities_equal_brute_force(spark):
+    from corpusgraph.llm.common import Scratch
+
+    rng = random.Random(5)
+    rows = []
+    for _ in range(900):
+        host = rng.choice(["a.net", "b.net", ""])
+        kind = rng.choice(["x", "y", "z"])
+        deep = [rng.choice(["u", "v"]) for _ in range(rng.randrange(9))]
+        path = [] if rng.random() < 0.1 else [kind, *deep, f"slug{rng.choice('abcdefghijklmnopqrstuvwxyz')}{rng.choice('abcdef')}"]
+        bad = 0.9 if kind == "x" and "v" in deep[:1] else 0.2
+        rows.append((host, path, rng.choice([None, int(rng.random() > bad)])))
+    frame = spark.createDataFrame([(h, p, y) for h, p, y in rows], "host string, segments array<string>, good int")
+    counts = url_filter.label_counts(frame.selectExpr("host", "segments", "1L as n", "good"))
+    scratch = Scratch(spark, "test-urls")
+    got = url_filter.purities(url_filter.template_tree(counts, scratch), scratch).collect()
+    want = brute.url_purities(rows, url_filter.MAX_CHILDREN, url_filter.OWN_SHARE, url_filter.SIMILAR_Z, url_filter.PRIOR)
+    assert len(got) == len(want)
+    for r in got:
+        template, purity = want[r["host"], tuple(r["segments"])]
+        assert r["template"] == template and abs(r["purity"] - purity) < 1e-9
+
+
+def test_templates_that_part_late_and_urls_of_great_length(spark):
+    start = "http://h.net/" + "d/" * 9
+    pages = [(i, f"{start}{'junk' if i % 2 else 'good'}/p{i}.html") for i in range(400)]
+    pages += [(i, f"{start}junk/no-number-{i}x") for i in range(401, 403)] + [(500, "http://h.net/" + "q/" * 3000), (None, None), (1, "http://h.net/")]
+    labels = [(i, i % 2 == 0) for i in range(400)]
+    got = url_filter.judge_urls(spark.createDataFrame(pages, "page_id bigint, url string"),
+                                spark.createDataFrame([(i, int(y)) for i, y in labels], "doc_id bigint, quality int")).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        assert r["verdict"] == ("block" if "junk" in r["path"] else "allow")
+
+
+def test_threshold_on_labels_left_out():
+    assert url_filter.clear_threshold([]) == url_filter.MIN_PURITY
+    assert url_filter.clear_threshold([(700, 80, 20), (800, 82, 18), (900, 79, 21)]) == url_filter.MIN_PURITY
+    assert url_filter.clear_threshold([(550, 10, 30), (600, 20, 30), (900, 300, 20)]) == 0.601
+    assert url_filter.clear_threshold([(100, 1, 90), (900, 300, 20)]) == url_filter.MIN_PURITY
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="page">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">home of menus and more</a></li></ul></nav><div class="ad">Buy now and always</div>
 <article><h1>The  Head</h1><p>First <b>bo</b>ld &amp; caf&eacute;<br>line<p>Second <a href="x>y">link</a> one.
