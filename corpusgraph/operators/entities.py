@@ -16,6 +16,7 @@ from ..functions.extraction import (
 from ..functions.labels import canonical_label, entity_type_or_concept, graph_key, relation_type_or_null
 from ..functions.text import let, strip, text_or_empty
 from ..options import DEFAULTS, Options
+from ..session import run_table
 from ..sources.responses import parse_responses
 from .skew import salted_join
 
@@ -51,15 +52,13 @@ def extract_once(chunks: DataFrame, opts: Options = DEFAULTS) -> DataFrame:
     """
     hashed = chunks.withColumn("text", strip(text_or_empty("text"))).withColumn("text_hash", text_hash(F.col("text")))
     position = F.struct("document_id", "chunk_seq")
-    first = W.partitionBy("text_hash").orderBy("document_id", "chunk_seq")
-    distinct = (
-        hashed.select("text_hash", "text", "document_id", "chunk_seq")
-        .withColumn("__n", F.row_number().over(first)).filter("__n = 1")
-        .select("text_hash", "text", position.alias("first_use"))
-    )
-    results = extract_chunks(distinct, opts).drop("text")
+    # Combined before the shuffle; one text stands for all of its hash.
+    distinct = hashed.groupBy("text_hash").agg(
+        F.first("text").alias("text"), F.min(position).alias("first_use"), F.count(F.lit(1)).alias("__uses"))
+    # Written, since the join looks at the sizes and at the results.
+    results = run_table(extract_chunks(distinct, opts).drop("text"), "extracted")
     return (
-        salted_join(hashed, results, ["text_hash"], ["document_id", "chunk_seq"])
+        salted_join(hashed, results, ["text_hash"], ["document_id", "chunk_seq"], rows="__uses")
         .withColumn("reused", position != F.col("first_use"))
         .drop("first_use")
     )

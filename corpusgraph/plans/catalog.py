@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +14,7 @@ from ..functions.labels import canonical_label, relation_type_or_null
 from ..operators import chunking, context, dedup, entities, graph, keyword_index, ordering, retrieval, selection, vector_index, vectors
 from ..options import Options
 from ..session import run_table
+from ..sources import responses
 from ..sources import units as sources
 from ..sources.log_tables import LogStore
 from ..sources.tables import GraphStore
@@ -116,21 +117,21 @@ def gather_units(spark: SparkSession, sf: str) -> DataFrame:
     )
     images = talk.filter("role = 'assistant'").withColumn("merged_context", F.col("text"))
     return sources.gather(c.doc_units(spark, sf), tables, images).select(
-        "document_id", "unit_seq", "page", "source", "type", F.length("text").alias("chars")
+        "document_id", "unit_seq", "page", "source", "type", "text"
     )
 
 
 @query
 def ascii_routing(spark: SparkSession, sf: str) -> DataFrame:
     routed = sources.route_for_translation(c.doc_units(spark, sf))
-    return routed.select("document_id", "unit_seq", "needs_translation", F.length("translation_input").alias("chars"))
+    return routed.select("document_id", "unit_seq", "needs_translation", "translation_input")
 
 
 @query
 def event_previews(spark: SparkSession, sf: str) -> DataFrame:
     seen = sources.event_previews(c.doc_units(spark, sf))
     return seen.select(
-        "document_id", "unit_seq", *[F.length(x).alias(x) for x in seen.columns if x.endswith("preview")]
+        "document_id", "unit_seq", *[x for x in seen.columns if x.endswith("preview")]
     )
 
 
@@ -383,6 +384,10 @@ def extraction_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return c.fact_extraction(spark, sf).select("chunk_id", F.round("confidence", 6).alias("confidence"), "needs_augmentation")
 
 
+def _listed(array: str, *fields: str) -> Column:
+    return F.array_join(F.transform(array, lambda e: F.concat_ws(":", *[e[f] for f in fields])), ";")
+
+
 @query
 def label_forms(spark: SparkSession, sf: str) -> DataFrame:
     """Label and relation type normalisation over names of every kind."""
@@ -415,6 +420,69 @@ def tag_merge(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def tag_relations(spark: SparkSession, sf: str) -> DataFrame:
+    """Relations whose ends only the tagger finds, present where both ends are tagged."""
+    orders = c.table(spark, sf, "orders")
+    planner = F.concat(F.lit("route planner "), "o_custkey")
+    tracking = F.concat(F.lit("order tracking "), F.year("o_orderdate").cast("string"))
+    chunk = F.concat(F.lit("c"), "o_orderkey").alias("chunk_id")
+    added = orders.select(chunk, F.concat(F.lit(" "), planner, F.lit(" is used for "), tracking, F.lit(".")).alias("added"))
+    chunks = c.fact_chunks(spark, sf).join(added, "chunk_id").withColumn("text", F.concat("text", "added"))
+    ends = F.array(
+        F.struct(F.lit(1).alias("tag_seq"), planner.alias("text"), F.lit("ORG").alias("tag")),
+        F.struct(F.lit(2).alias("tag_seq"), tracking.alias("text"), F.lit("WORK_OF_ART").alias("tag")),
+    )
+    tags = orders.select(chunk, F.inline(F.when(F.col("o_orderkey") % 4 > 0, ends).otherwise(F.slice(ends, 1, 1))))
+    merged = entities.extract_tagged(chunks, tags)
+    return merged.select("chunk_id", F.round("confidence", 6).alias("confidence"), F.posexplode("relationships").alias("position", "r")).select(
+        "chunk_id", "confidence", "position", F.col("r.from").alias("from_label"), F.col("r.to").alias("to_label"), "r.type"
+    )
+
+
+@query
+def response_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Responses of an outside extractor in every form: fenced, amid words, plain names, broken, blank and missing."""
+    orders = c.table(spark, sf, "orders")
+    name, year = F.col("o_orderpriority"), F.year("o_orderdate").cast("string")
+    as_objects = F.concat(
+        F.lit('{"entities":[{"label":"'), name, F.lit('","type":"Metric"},{"text":" Year '), year, F.lit('","type":"odd"},{"label":""}],'
+              '"relationships":[{"subject":"'), name, F.lit('","object":"Year '), year, F.lit('","predicate":"uses"}]}'))
+    as_names = F.concat(F.lit('{"entities":["'), name, F.lit('","Customer '), "o_custkey", F.lit('"]}'))
+    kind = F.col("o_orderkey") % 6
+    response = (
+        F.when(kind == 0, F.concat(F.lit("```json\n"), as_objects, F.lit("\n```")))
+        .when(kind == 1, F.concat(F.lit("Found: "), as_objects, F.lit(" and no more")))
+        .when(kind == 2, as_names).when(kind == 3, F.concat(F.lit('{"entities":[{"label":"'), name)).when(kind == 4, F.lit("  "))
+    )
+    read = responses.parse_responses(orders.select("o_orderkey", response.alias("response")))
+    return read.select("o_orderkey", _listed("entities", "label", "type").alias("entities"),
+                       _listed("relationships", "from", "to", "type").alias("relationships"))
+
+
+@query
+def numbered_units(spark: SparkSession, sf: str) -> DataFrame:
+    """Places of tables and images in their document by page and index, whatever the indexes."""
+    part = c.table(spark, sf, "part")
+    tables = sources.table_units(part.select(
+        F.col("p_brand").alias("document_id"), F.col("p_size").alias("page"), F.col("p_partkey").alias("table_index"),
+        F.array(F.array(F.col("p_name"), F.col("p_type"))).alias("raw_table")))
+    images = sources.image_units(part.select(
+        F.col("p_brand").alias("document_id"), F.col("p_size").alias("page"), (-F.col("p_partkey")).alias("image_index"),
+        F.when(F.col("p_partkey") % 3 > 0, F.col("p_name")).alias("recognised"), F.col("p_type").alias("translated")))
+    columns = ["document_id", "unit_seq", "page", "source", "type", "text"]
+    return tables.select(*columns).unionByName(images.select(*columns))
+
+
+@query
+def scoped_degree(spark: SparkSession, sf: str) -> DataFrame:
+    """Degrees of one document's entities: the first document by id."""
+    tables = c.fact_graph(spark, sf)
+    document = tables.chunks.agg(F.min("document_id")).first()[0]
+    return graph.entity_degree(graph.GraphTables(*[
+        graph.scope(t, document) for t in (tables.chunks, tables.entities, tables.mentions, tables.relationships)]))
+
+
 @query
 def response_merge(spark: SparkSession, sf: str) -> DataFrame:
     found = c.fact_extraction(spark, sf)
@@ -427,18 +495,18 @@ def response_merge(spark: SparkSession, sf: str) -> DataFrame:
         "response", F.concat(F.lit("```json\n" + body + "\n```"))
     )
     merged = entities.merge_responses(found, responses)
-    listed = lambda a, *fields: F.array_join(F.transform(a, lambda e: F.concat_ws(":", *[e[f] for f in fields])), ";")
     return merged.select(
         "chunk_id", "used_response", F.round("confidence", 6).alias("confidence"),
-        listed("entities", "label", "type").alias("entities"),
-        listed("relationships", "from", "to", "type").alias("relationships"),
+        _listed("entities", "label", "type").alias("entities"),
+        _listed("relationships", "from", "to", "type").alias("relationships"),
     )
 
 
 @query
 def reuse_by_hash(spark: SparkSession, sf: str) -> DataFrame:
     return entities.extract_once(c.fact_chunks(spark, sf)).select(
-        "chunk_id", "reused", F.size("entities").alias("n_entities"), F.size("relationships").alias("n_relations")
+        "chunk_id", "reused", _listed("entities", "label", "type").alias("entities"),
+        _listed("relationships", "from", "to", "type").alias("relationships"),
     )
 
 

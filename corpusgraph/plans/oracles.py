@@ -437,16 +437,16 @@ FROM conversations WHERE role = 'assistant' AND regexp_matches(text, '\\S')""".r
 c AS (SELECT *, CASE WHEN length(own) > 0 THEN own WHEN length({strip('text')}) > 20 THEN {strip(f"substr({strip('text')}, 1, 2000)")} END AS t FROM p)
 SELECT document_id, page, 'page_' || page || '_chart' AS source, t AS text FROM c WHERE t IS NOT NULL AND regexp_matches(t, '\\S')""".replace("\\\\S", "\\S")
     sql["gather_units"] = f"""WITH {LINES}, talk AS (SELECT CAST(conv_id AS VARCHAR) AS document_id, turn, role, text FROM conversations)
-SELECT document_id, unit_seq, page, source, type, CAST(length(text) AS INTEGER) AS chars FROM lines
+SELECT document_id, unit_seq, page, source, type, text FROM lines
 UNION ALL
-SELECT document_id, turn + 1099511627776, CAST(turn AS INTEGER), 'page_' || turn, 'table', CAST(length({strip('CASE WHEN turn > 1 THEN text ELSE lower(text) END')}) AS INTEGER) FROM talk WHERE role = 'user' AND regexp_matches(text, '\\S')
+SELECT document_id, turn + 1099511627776, CAST(turn AS INTEGER), 'page_' || turn, 'table', {strip('CASE WHEN turn > 1 THEN text ELSE lower(text) END')} FROM talk WHERE role = 'user' AND regexp_matches(text, '\\S')
 UNION ALL
-SELECT document_id, turn + 2199023255552, CAST(turn AS INTEGER), 'page_' || turn, 'image', CAST(length({strip('text')}) AS INTEGER) FROM talk WHERE role = 'assistant' AND regexp_matches(text, '\\S')""".replace("\\\\S", "\\S")
+SELECT document_id, turn + 2199023255552, CAST(turn AS INTEGER), 'page_' || turn, 'image', {strip('text')} FROM talk WHERE role = 'assistant' AND regexp_matches(text, '\\S')""".replace("\\\\S", "\\S")
     sql["ascii_routing"] = f"""WITH {LINES}, r AS (SELECT *, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) / CAST(greatest(1, length(text)) AS DOUBLE) > 0.95 AS ok FROM lines)
-SELECT document_id, unit_seq, NOT ok AS needs_translation, CAST(CASE WHEN ok THEN length(text) ELSE least(3000, length(text)) END AS INTEGER) AS chars FROM r"""
+SELECT document_id, unit_seq, NOT ok AS needs_translation, CASE WHEN ok THEN text ELSE substr(text, 1, 3000) END AS translation_input FROM r"""
     previews = {"text_preview": 2000, "original_preview": 600, "table_preview": 1500, "image_preview": 1200, "chunk_preview": 500}
     sql["event_previews"] = f"WITH {LINES} SELECT document_id, unit_seq, " + ", ".join(
-        f"CAST(least({n}, length(text)) AS INTEGER) AS {k}" for k, n in previews.items()) + " FROM lines"
+        f"substr(text, 1, {n}) AS {k}" for k, n in previews.items()) + " FROM lines"
 
     # chunking
     words = rf"regexp_split_to_array({strip('text')}, '\s+')"
@@ -588,8 +588,37 @@ SELECT chunk_id, used AS used_response,
   CASE WHEN used THEN greatest(round(confidence, 6), {conf.format(e='(n_e + 2)', r='(n_r + 3)')}) ELSE round(confidence, 6) END AS confidence,
   CASE WHEN used THEN e || ';earnings:metric;outlook:concept' ELSE e END AS entities,
   CASE WHEN used THEN ltrim(r || ';nothing:outlook:USED_FOR;outlook:revenue:RELATED_TO;outlook:revenue:HAS_VALUE', ';') ELSE r END AS relationships FROM m"""
-    sql["reuse_by_hash"] = f"""WITH {FACT_GRAPH} SELECT chunk_id, row_number() OVER (PARTITION BY text ORDER BY document_id, chunk_seq) > 1 AS reused,
-  CAST(n_e AS INTEGER) AS n_entities, CAST(n_r AS INTEGER) AS n_relations FROM sizes"""
+    sql["reuse_by_hash"] = f"""WITH {FACT_GRAPH},
+el AS (SELECT cid, string_agg(label || ':' || type, ';' ORDER BY position) AS l FROM ents GROUP BY cid),
+rl AS (SELECT cid, string_agg(source || ':' || target || ':' || type, ';' ORDER BY position) AS l FROM rels GROUP BY cid)
+SELECT chunk_id, row_number() OVER (PARTITION BY text ORDER BY document_id, chunk_seq) > 1 AS reused,
+  coalesce(el.l, '') AS entities, coalesce(rl.l, '') AS relationships
+FROM sizes LEFT JOIN el ON el.cid = chunk_id LEFT JOIN rl ON rl.cid = chunk_id"""
+    sql["tag_relations"] = f"""WITH {FACTS},
+added AS (SELECT 'c' || o_orderkey AS cid, 'route planner ' || o_custkey AS planner, 'order tracking ' || year(o_orderdate) AS tracking, o_orderkey AS k FROM orders),
+fact_texts AS (SELECT cid, text || ' ' || planner || ' is used for ' || tracking || '.' AS text FROM facts JOIN added ON cid = chunk_id),
+{entity_steps("fact_texts").replace("ents AS (", "own AS (", 1)},
+tagged AS (SELECT cid, planner AS raw, 1 AS i FROM added UNION ALL SELECT cid, tracking, 2 FROM added WHERE k % 4 > 0),
+{labels("tagged", "tagged_labels")},
+both_kinds AS (SELECT cid, label, type, 0 AS o, position AS i FROM own UNION ALL SELECT cid, label, 'concept', 1, i FROM tagged_labels WHERE label <> ''),
+ents AS (SELECT cid, label, type FROM both_kinds QUALIFY row_number() OVER (PARTITION BY cid, label ORDER BY o, i) = 1),
+{_relation_steps()},
+n AS (SELECT t.*, (SELECT count(*) FROM ents e WHERE e.cid = t.cid) AS n_e, (SELECT count(*) FROM rels r WHERE r.cid = t.cid) AS n_r FROM fact_texts t)
+SELECT cid AS chunk_id, {conf.format(e='n_e', r='n_r')} AS confidence, position, source AS from_label, target AS to_label, type FROM rels JOIN n USING (cid)"""
+    sql["response_forms"] = f"""WITH base AS (SELECT o_orderkey, o_orderkey % 6 AS kind, o_orderpriority AS name, 'Year ' || year(o_orderdate) AS year, o_custkey FROM orders),
+listed AS (
+  SELECT o_orderkey, unnest([name, ' ' || year, '']) AS raw, unnest(['metric', 'concept', 'concept']) AS type, unnest([1, 2, 3]) AS i FROM base WHERE kind < 2
+  UNION ALL SELECT o_orderkey, unnest([name, 'Customer ' || o_custkey]), 'concept', unnest([1, 2]) FROM base WHERE kind = 2),
+{labels("listed", "named")},
+joined AS (SELECT o_orderkey, string_agg(label || ':' || type, ';' ORDER BY i) AS l FROM named WHERE label <> '' GROUP BY o_orderkey)
+SELECT o_orderkey, coalesce(l, '') AS entities, CASE WHEN kind < 2 THEN name || ':' || year || ':uses' ELSE '' END AS relationships
+FROM base LEFT JOIN joined USING (o_orderkey)"""
+    sql["numbered_units"] = f"""SELECT p_brand AS document_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, p_partkey) - 1 AS unit_seq, p_size AS page,
+  'page_' || p_size || '_table_' || p_partkey AS source, 'table' AS type, {strip('p_name')} || ' | ' || {strip('p_type')} AS text FROM part
+UNION ALL
+SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_size, -p_partkey) - 1, p_size, 'page_' || p_size || '_img_' || (-p_partkey), 'image',
+  coalesce(nullif(p_type, ''), p_name) FROM part WHERE p_partkey % 3 > 0 AND regexp_matches(p_name, '\\S')"""
+    sql["scoped_degree"] = f"WITH {FACT_GRAPH} SELECT * FROM deg WHERE document_id = (SELECT min(document_id) FROM facts)"
 
     # graph
     def g(body: str) -> str:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ColumnOrName, as_col, ascii_share, clip, is_blank, strip, text_or_empty
+from ..operators.ordering import with_position
 
 UNIT_COLUMNS = ["document_id", "unit_seq", "page", "source", "type", "text"]
 
@@ -76,11 +77,23 @@ def row_text(*cells: Column) -> Column:
     return F.concat_ws(" | ", *[strip(text_or_empty(c.cast("string"))) for c in cells])
 
 
+def _numbered(units: DataFrame, index: str) -> DataFrame:
+    """Add ``unit_seq``, the place of each unit in its document by page and index, from 0 and without gaps."""
+    keyed = units.withColumn("__order", F.coalesce(F.col("page").cast("bigint"), F.lit(0)) * (1 << 32) + F.coalesce(index, F.lit(0)))
+    # Units without a document are numbered too.
+    keyed = keyed.withColumn("__document", F.coalesce(F.concat(F.lit("="), F.col("document_id").cast("string")), F.lit("")))
+    placed = with_position(keyed, ["__document"], "__order", "unit_seq")
+    return placed.withColumn("unit_seq", F.col("unit_seq") - 1).drop("__order", "__document")
+
+
 def table_units(tables: DataFrame) -> DataFrame:
-    """Units of ``document_id, page, table_index, raw_table``; empty tables are dropped."""
-    return tables.filter(F.size("raw_table") > 0).select(
-        F.col("document_id").cast("string").alias("document_id"),
-        (F.col("page").cast("bigint") * 100000 + F.col("table_index")).alias("unit_seq"),
+    """Units of ``document_id, page, table_index, raw_table``; empty tables are dropped.
+
+    Two tables of a document do not share page and index.
+    """
+    numbered = _numbered(tables.filter(F.size("raw_table") > 0), "table_index")
+    return numbered.select(
+        F.col("document_id").cast("string").alias("document_id"), "unit_seq",
         F.col("page").cast("int").alias("page"),
         F.format_string("page_%d_table_%d", F.col("page").cast("int"), F.col("table_index").cast("int")).alias("source"),
         F.lit("table").alias("type"),
@@ -90,9 +103,9 @@ def table_units(tables: DataFrame) -> DataFrame:
 
 def image_units(image_text: DataFrame) -> DataFrame:
     """Units of ``document_id, page, image_index, recognised, translated``; blank recognitions are dropped."""
-    return image_text.filter(~is_blank("recognised")).select(
-        F.col("document_id").cast("string").alias("document_id"),
-        (F.col("page").cast("bigint") * 100000 + F.col("image_index")).alias("unit_seq"),
+    numbered = _numbered(image_text.filter(~is_blank("recognised")), "image_index")
+    return numbered.select(
+        F.col("document_id").cast("string").alias("document_id"), "unit_seq",
         F.col("page").cast("int").alias("page"),
         F.format_string("page_%d_img_%d", F.col("page").cast("int"), F.col("image_index").cast("int")).alias("source"),
         F.lit("image").alias("type"),
