@@ -95,7 +95,7 @@ def table_units(tables: DataFrame) -> DataFrame:
     return numbered.select(
         F.col("document_id").cast("string").alias("document_id"), "unit_seq",
         F.col("page").cast("int").alias("page"),
-        F.format_string("page_%d_table_%d", F.col("page").cast("int"), F.col("table_index").cast("int")).alias("source"),
+        F.format_string("page_%d_table_%d", F.col("page").cast("int"), F.col("table_index").cast("bigint")).alias("source"),
         F.lit("table").alias("type"),
         table_text("raw_table").alias("text"),
     )
@@ -107,7 +107,7 @@ def image_units(image_text: DataFrame) -> DataFrame:
     return numbered.select(
         F.col("document_id").cast("string").alias("document_id"), "unit_seq",
         F.col("page").cast("int").alias("page"),
-        F.format_string("page_%d_img_%d", F.col("page").cast("int"), F.col("image_index").cast("int")).alias("source"),
+        F.format_string("page_%d_img_%d", F.col("page").cast("int"), F.col("image_index").cast("bigint")).alias("source"),
         F.lit("image").alias("type"),
         F.coalesce(F.nullif(F.col("translated"), F.lit("")), F.col("recognised")).alias("text"),
     )
