@@ -13,7 +13,7 @@ hold; those with other values count, all or those of one diagonal, if their slot
 tokens, or ``MIN_SHARE`` of a shorter item, lie in such windows.
 
 The document side is one scan with no shuffle up to the join. The benchmark's windows are broadcast only if they
-are counted to be at most ``MAX_BROADCAST``; beyond that both sides are shuffled by window hash. Only hits are
+are counted to be at most ``MAX_BROADCAST``; beyond that both sides are shuffled by window hash, each window with its own words. Only hits are
 shuffled after the join.
 
 ``n_covered`` and ``reworded`` are of windows with names as placeholders on one diagonal where these are
@@ -152,12 +152,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, keep_key: bool = False)
     for k in sorted(size["sizes"]) or [WINDOW]:  # one size, and those of shorter items
         places = windows(hashed, k)
         items = known.filter(F.col("size") == k)
+        in_window = F.slice("tokens", F.col("place") + 1, F.lit(k))
         if size["n"] <= MAX_BROADCAST:
             items = F.broadcast(items)
+        else:
+            # A shuffled window carries its own words, not those of its document.
+            places, in_window = places.withColumn("in_window", in_window).drop("tokens"), F.col("in_window")
         met = places.join(items, "window").select(
             "doc_id", "row", "item_id", "n_item", "size", "at", (F.col("place") - F.col("at")).alias("diagonal"),
             ((F.col("form") == 0) & (F.col("item_form") == 0)).alias("plain"),
-            F.filter(F.arrays_zip(F.col("kinds").alias("k"), F.col("item_tokens").alias("b"), F.slice("tokens", F.col("place") + 1, F.lit(k)).alias("d")),
+            F.filter(F.arrays_zip(F.col("kinds").alias("k"), F.col("item_tokens").alias("b"), in_window.alias("d")),
                      lambda s: s["k"] != "").alias("slots"))
         hits = met if hits is None else hits.unionByName(met)
     edited = F.exists("slots", lambda s: s["b"] != s["d"])

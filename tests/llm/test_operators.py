@@ -264,6 +264,24 @@ def test_fit_uses_no_more_than_there_is():
     assert set(filled.values()) == {8}
 
 
+def test_decontamination_by_shuffled_windows_of_a_long_text(spark, monkeypatch):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    items = [(i, " ".join(rng.choice(words) for _ in range(20))) for i in range(5)]
+    long = [rng.choice(words) for _ in range(20_000)]
+    long[7_000:7_020], long[19_980:] = items[0][1].split(), items[3][1].split()
+    docs = _frame(spark, [(1, " ".join(long)), (2, items[1][1]), (3, None), (4, "w1 w2")])
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    want = _sorted(decontaminate.contaminated(docs, benchmark).collect())
+    monkeypatch.setattr(decontaminate, "MAX_BROADCAST", 0)
+    found = decontaminate.contaminated(docs, benchmark)
+    assert _sorted(found.collect()) == want and {(r[0], r[1]) for r in want} == {(1, 0), (1, 3), (2, 1)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    join = next(i for i, line in enumerate(plan) if "Join" in line)
+    carried = plan[join + 1][plan[join + 1].index("["):]
+    assert "in_window" in carried and " tokens#" not in carried
+
+
 def test_toxicity_folds_marks_and_look_alikes():
     words = lambda text: [side.split() for side in toxicity.fold_both(text)]
     assert words("бigot") == [["bigot"], []]
